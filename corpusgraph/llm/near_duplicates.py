@@ -164,8 +164,8 @@ WITH w AS (SELECT chunk_no, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}
 t AS (SELECT min(chunk_no) AS id, text, any_value(words) AS words FROM w WHERE len(words) >= 40 GROUP BY text),
 s AS (SELECT DISTINCT id, hash(words[i], words[i + 1], words[i + 2]) AS h FROM (SELECT id, words, unnest(range(1, len(words) - 1)) AS i FROM t)),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
-both AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.id < b.id GROUP BY ALL),
-alike AS (SELECT a, b FROM both JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9),
+met AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.id < b.id GROUP BY ALL),
+alike AS (SELECT a, b FROM met JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9),
 m AS (SELECT chunk_no, id FROM w JOIN t USING (text)),
 p AS (
   SELECT x.chunk_no AS x, y.chunk_no AS y FROM m x JOIN m y ON x.id = y.id AND x.chunk_no < y.chunk_no

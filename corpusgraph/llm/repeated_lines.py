@@ -121,7 +121,7 @@ _REPEATED = r"""
 WITH l AS (SELECT chunk_no, corpus, logical_id, i AS line_no, trim(regexp_replace(regexp_replace(lower(parts[i]), '\p{Nd}+', '0', 'g'), '[\s\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')) AS line, parts[i] AS raw
   FROM (SELECT chunk_no, corpus, logical_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS parts FROM chunks))),
 n AS (SELECT corpus, count(DISTINCT logical_id) AS documents FROM chunks GROUP BY corpus),
-r AS (SELECT corpus, line FROM l JOIN n USING (corpus) WHERE len(list_filter(string_split(line, ' '), w -> regexp_matches(w, '\p{L}'))) >= 3
+r AS (SELECT corpus, line FROM l JOIN n USING (corpus) WHERE len(list_filter(string_split(line, ' '), lambda w: regexp_matches(w, '\p{L}'))) >= 3
   GROUP BY corpus, line, documents HAVING count(DISTINCT logical_id) * 100 >= documents * 4 AND count(DISTINCT logical_id) >= 5)
 """
 
