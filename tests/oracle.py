@@ -46,6 +46,7 @@ def differences(spark, con, query, sql: str, folder: str) -> str:
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} against {sorted(names)}"
     if mine != theirs:
-        only = [r for r in mine if r not in set(theirs)][:2], [r for r in theirs if r not in set(mine)][:2]
+        have, want = set(mine), set(theirs)
+        only = [r for r in mine if r not in want][:2], [r for r in theirs if r not in have][:2]
         return f"{len(mine)} rows against {len(theirs)}; only here {only[0]}, only in SQL {only[1]}"
     return ""
