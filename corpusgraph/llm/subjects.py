@@ -27,7 +27,13 @@ from corpusgraph.sources.tables import table
 #: Bounds of the model: marked documents to fit on, terms kept, combinations that a beam keeps.
 MAX_LABELLED, MAX_TERMS, BEAM = 20_000, 20_000, 8
 #: A term is kept if it is seen in so many marked documents, or sentences of the corpus, and so much more often with a subject than chance has it.
-LEAST_DOCUMENTS, LEAST_SEEN, LEAST_LIFT, LEAST_GAIN = 3, 8, 3.0, 6.0
+LEAST_DOCUMENTS, LEAST_SEEN, LEAST_LIFT, LEAST_GAIN = 2, 8, 3.0, 4.0
+#: Among the sentences about any subject, a term's odds for its subject must exceed the subject's own so many times.
+LEAST_ODDS = 3.5
+#: A term stands for a subject only if so great a share of its sentences or marked documents are about it.
+LEAST_PURITY = 0.3
+#: The corpus teaches terms in rounds until a round adds less than this share; so many rounds at most.
+GROWTH, ROUNDS = 0.1, 6
 #: A subject holds for a document from so many sentences and this share of all that are about any subject.
 LEAST_SENTENCES, LEAST_SHARE = 2, 0.25
 #: A line of at least this share of a corpus's documents belongs to the page frame.
@@ -50,17 +56,27 @@ def _letter_case() -> tuple[np.ndarray, np.ndarray]:
     return lower, upper
 
 
-def line_hashes(lines: list[str]) -> np.ndarray:
-    """Hashes of lines as :func:`scan` compares them: stripped, lower-cased, digits as 0."""
-    out = []
-    for line in lines:
-        points = _as_frame(code_points(line.strip()))
-        out.append(span_hashes(points, np.array([0]), np.array([len(points)]))[0])
-    return np.unique(np.array(out, np.uint64))
+@functools.cache
+def _frame_form() -> np.ndarray:
+    form = _letter_case()[0].copy()
+    form[49:58] = 48
+    form[classes() == SPACE] = 32
+    return form
 
 
 def _as_frame(points: np.ndarray) -> np.ndarray:
-    return np.where((points >= 49) & (points <= 57), np.uint32(48), _letter_case()[0][points])
+    """What the variants of a frame line agree in: lower case, digits as 0, white space as spaces."""
+    return _frame_form()[points]
+
+
+def _lines(points: np.ndarray, kind: np.ndarray, text_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line whether it has visible characters, where they begin and end, and the number of its text."""
+    ends = np.flatnonzero(points == 10)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    visible = np.append(np.flatnonzero(kind != SPACE), len(points) - 1)
+    first = visible[np.minimum(np.searchsorted(visible, starts), len(visible) - 1)]
+    last = visible[np.maximum(np.searchsorted(visible, ends) - 1, 0)] + 1
+    return first < ends, first, last, np.searchsorted(text_ends, starts)
 
 
 @dataclass
@@ -84,15 +100,10 @@ def scan(block: list[str], frames: np.ndarray) -> Scan:
     text_ends = np.cumsum([len(t) + 1 for t in block]) - 1
     line_ends = np.flatnonzero(points == 10)
     line_starts = np.concatenate([[0], line_ends[:-1] + 1])
-    visible = np.flatnonzero(kind != SPACE)
-    visible = np.append(visible, len(points) - 1)
-    first = visible[np.minimum(np.searchsorted(visible, line_starts), len(visible) - 1)]
-    last = visible[np.maximum(np.searchsorted(visible, line_ends) - 1, 0)]
-    full = first < line_ends
+    full, first, last, text_of_line = _lines(points, kind, text_ends)
     lead = np.where(full, points[first], 0)
     padded = np.append(points, np.zeros(3, np.uint32))
     fence = (lead == 96) & (padded[first + 1] == 96) & (padded[first + 2] == 96)
-    text_of_line = np.searchsorted(text_ends, line_starts)
     run = np.cumsum(fence)
     total = np.bincount(text_of_line, fence, len(block)).astype(np.int64)
     before = np.cumsum(total) - total
@@ -103,7 +114,7 @@ def scan(block: list[str], frames: np.ndarray) -> Scan:
     keep = full & ~code & ~heading
     if len(frames):
         asked = np.flatnonzero(keep)
-        hashes = span_hashes(_as_frame(points), first[asked], last[asked] + 1)
+        hashes = span_hashes(_as_frame(points), first[asked], last[asked])
         keep[asked[np.isin(hashes, frames)]] = False
 
     lower, upper = _letter_case()
@@ -173,7 +184,10 @@ def associate(term: np.ndarray, counts: np.ndarray, seen: np.ndarray, totals: np
     row = np.arange(len(term))
     c, expected = counts[row, best], seen * base[best]
     gain = np.where(c > expected, c * np.log(np.maximum(c, 1e-9) / np.maximum(expected, 1e-9)) - (c - expected), 0)
-    good = np.flatnonzero((seen >= least_seen) & (lift[row, best] >= LEAST_LIFT) & (gain >= LEAST_GAIN))
+    about = counts.sum(axis=1)
+    share = (totals / max(totals.sum(), 1.0))[best]
+    odds = (c + share) / np.maximum(about - c + 1 - share, 1e-9) * (1 - share) / np.maximum(share, 1e-9)
+    good = np.flatnonzero((seen >= least_seen) & (lift[row, best] >= LEAST_LIFT) & (gain >= LEAST_GAIN) & (odds >= LEAST_ODDS) & (c >= LEAST_PURITY * seen))
     good = good[np.argsort(-gain[good], kind="stable")[:most]]
     good = good[np.argsort(term[good])]
     return Terms(term[good], np.clip(np.log(np.maximum(lift[good], 1e-3)), -2.5, 4.0))
@@ -257,11 +271,11 @@ def _features(batch: pd.DataFrame, frames: np.ndarray, terms: Terms) -> np.ndarr
     return np.hstack([np.log1p(counts), share, rule, place, np.log1p(structure), np.ones((n, 1))])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
-    """Ridge logistic regression by Newton's method."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, offset: np.ndarray | float = 0.0) -> np.ndarray:
+    """Ridge logistic regression by Newton's method, on top of given log odds."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w + offset, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -269,35 +283,51 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     return w
 
 
+def _own_features(x: np.ndarray, subjects: int) -> np.ndarray:
+    """Of each row and subject what any subject is told by: the rule, its sentences and share, and how many subjects meet the rule."""
+    count, share, rule = (x[:, i * subjects : (i + 1) * subjects] for i in range(3))
+    met = rule.sum(axis=1, keepdims=True)
+    total = np.log1p(np.expm1(count).sum(axis=1, keepdims=True))
+    flat = np.ones_like(share)
+    return np.stack([rule, count, share, rule * share, rule * (met > 1), (count > 0).astype(float), total * flat, flat], axis=2)
+
+
 @dataclass
 class Chain:
-    """Classifiers in the order of the chain; each has weights of the features and of the subjects before it."""
+    """Classifiers in the order of the chain. Log odds are those of the subject's own features, the same for all subjects, and
+    the link's: weights of all features and of the subjects decided before it."""
 
     order: list[int]
+    own: np.ndarray
     weights: list[np.ndarray]
     scale: list[tuple[float, float]]
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, held_out: np.ndarray, ridge: float = 1.0) -> Chain:
+    def fit(x: np.ndarray, y: np.ndarray, held_out: np.ndarray, ridge: float = 20.0) -> Chain:
+        n = y.shape[1]
         order = np.argsort(-y.sum(axis=0), kind="stable").tolist()
+        features = _own_features(x, n)
+        own = _logistic(features[~held_out].reshape(-1, features.shape[2]), y[~held_out].reshape(-1), 0.1)
+        base = features @ own
         weights, scale = [], []
         for i, s in enumerate(order):
             full = np.hstack([x, y[:, order[:i]]])
-            w = _logistic(full[~held_out], y[~held_out, s], ridge)
-            z = full[held_out] @ w
+            w = _logistic(full[~held_out], y[~held_out, s], ridge, base[~held_out, s])
+            z = full[held_out] @ w + base[held_out, s]
             fitted = np.array([1.0, 0.0])
             if held_out.sum() >= 200 and 0 < y[held_out, s].sum() < held_out.sum():
-                fitted = _logistic(np.stack([z, np.ones(len(z))], axis=1), y[held_out, s], 0.1)
+                fitted = _logistic(np.stack([z, np.ones(len(z))], axis=1), y[held_out, s], 1.0, z) + [1.0, 0.0]
             weights.append(w)
             scale.append((float(fitted[0]), float(fitted[1])))
-        return Chain(order, weights, scale)
+        return Chain(order, own, weights, scale)
 
     def decode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """The likeliest combination of subjects of each row, as far as the beam sees."""
         n, m = x.shape
         labels, scores = np.zeros((n, 1, len(self.order))), np.zeros((n, 1))
+        base = _own_features(x, len(self.order)) @ self.own
         for i, (w, (a, b)) in enumerate(zip(self.weights, self.scale)):
-            z = (x @ w[:m])[:, None] + labels[:, :, self.order[:i]] @ w[m:]
+            z = (base[:, self.order[i]] + x @ w[:m])[:, None] + labels[:, :, self.order[:i]] @ w[m:]
             z = np.clip(a * z + b, -30, 30)
             yes, no = scores - np.log1p(np.exp(-z)), scores - np.log1p(np.exp(z))
             both = np.concatenate([no, yes], axis=1)
@@ -320,15 +350,28 @@ class SubjectModel:
     chain: Chain | None
 
 
-def frame_lines(documents: DataFrame, source: str, text: str) -> list[str]:
-    """Lines of at least ``FRAME_PERCENT`` percent of a corpus's documents: at most 25 times an average document's lines a corpus."""
-    line = F.trim(F.translate(F.lower("line"), "123456789", "000000000"))
-    rows = documents.select(F.coalesce(F.col(source).cast("string"), F.lit("\0")).alias("source"), F.col(text).alias("text"))
-    totals = rows.groupBy("source").agg(F.count("*").alias("documents"))
-    lines = rows.select("source", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select("source", line.alias("line"))
-    hashed = lines.where(F.length("line") > 5).groupBy("source", F.xxhash64("line").alias("h")).agg(F.count("*").alias("n"), F.min("line").alias("line"))
-    found = hashed.where(F.col("n") >= FRAME_LEAST).join(totals, "source").where(F.col("n") * 100 >= F.col("documents") * FRAME_PERCENT)
-    return [r["line"] for r in found.select("line").distinct().collect()]
+def _distinct_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The hash of each line of a text once, with its corpus and document."""
+    for batch in batches:
+        for first, block in blocks(batch["text"].tolist()):
+            points = code_points("\n".join(block) + "\n")
+            line, begin, end, text = _lines(points, classes()[points], np.cumsum([len(t) + 1 for t in block]) - 1)
+            long = np.flatnonzero(line & (end - begin > 5))
+            pairs = np.unique(np.stack([text[long].astype(np.uint64), span_hashes(_as_frame(points), begin[long], end[long])], axis=1), axis=0)
+            at = first + pairs[:, 0].astype(np.int64)
+            yield pd.DataFrame({"source": batch["source"].to_numpy()[at], "document": batch["document"].to_numpy()[at], "line": pairs[:, 1].view(np.int64)})
+
+
+def frame_lines(documents: DataFrame, source: str, document: str, text: str) -> np.ndarray:
+    """Hashes of the lines that stand in at least ``FRAME_PERCENT`` percent of a corpus's documents: at most 25 times the lines of
+    an average document for each corpus. Repeated deliveries of a document count once."""
+    known = lambda c: F.xxhash64(F.col(c).cast("string"))
+    rows = documents.select(known(source).alias("source"), known(document).alias("document"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    totals = rows.groupBy("source").agg(F.countDistinct("document").alias("documents"))
+    lines = rows.mapInPandas(_distinct_lines, "source bigint, document bigint, line bigint")
+    often = lines.groupBy("source", "line").agg(F.countDistinct("document").alias("n")).where(F.col("n") >= FRAME_LEAST)
+    found = often.join(totals, "source").where(F.col("n") * 100 >= F.col("documents") * FRAME_PERCENT).select("line").distinct()
+    return np.sort(np.array([r["line"] for r in found.collect()], np.int64).view(np.uint64))
 
 
 def _rows(documents: DataFrame, key: str, text: str, source: str, kind: str) -> DataFrame:
@@ -336,7 +379,7 @@ def _rows(documents: DataFrame, key: str, text: str, source: str, kind: str) ->
     return documents.select(F.col(key).alias("record"), F.coalesce(F.col(text), F.lit("")).alias("text"), bucket(source, _SOURCES).alias("source"), bucket(kind, _KINDS).alias("kind"))
 
 
-def fit_subjects(documents: DataFrame, subjects: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", kind: str = "kind", corpus: str = "corpus", max_labelled: int = MAX_LABELLED) -> SubjectModel:
+def fit_subjects(documents: DataFrame, subjects: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", kind: str = "kind", corpus: str = "corpus", document: str = "logical_id", max_labelled: int = MAX_LABELLED) -> SubjectModel:
     """Learns terms and the classifier chain.
 
     ``subjects`` has the subjects' names in ``subject``, ``marks`` rows ``(key, subject)``. Null marks, marks of unknown subjects
@@ -347,7 +390,7 @@ def fit_subjects(documents: DataFrame, subjects: DataFrame, marks: DataFrame, ke
     number = F.array_position(F.array(*[F.lit(s) for s in names]), F.col("subject")).cast("int") - 1 if names else F.lit(-1)
     marked = marks.where(F.col("subject").isin(names) & F.col(key).isNotNull()).select(F.col(key).alias("record"), number.alias("mark"))
     marked = marked.groupBy("record").agg(F.collect_set("mark").alias("marks")).orderBy(F.xxhash64("record"), "record").limit(max_labelled)
-    frames = line_hashes(frame_lines(documents, corpus, text))
+    frames = frame_lines(documents, corpus, document, text)
     rows = _rows(documents, key, text, source, kind)
     sample = rows.join(marked, "record").persist()
     try:
@@ -356,7 +399,12 @@ def fit_subjects(documents: DataFrame, subjects: DataFrame, marks: DataFrame, ke
         if not n or sample.isEmpty():
             return SubjectModel(names, frames, Terms(np.zeros(0, np.uint64), np.zeros((0, n))), None)
         first = _collect_terms(sample.select("text", "marks").mapInPandas(_marked_terms(frames, n), shape), n, LEAST_DOCUMENTS)
-        terms = _collect_terms(rows.select("text").mapInPandas(_sentence_terms(frames, first, n), shape), n, LEAST_SEEN)
+        terms = first
+        for _ in range(ROUNDS):
+            known = len(terms.hashes)
+            terms = _collect_terms(rows.select("text").mapInPandas(_sentence_terms(frames, terms, n), shape), n, LEAST_SEEN)
+            if len(terms.hashes) <= known * (1 + GROWTH):
+                break
 
         def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
