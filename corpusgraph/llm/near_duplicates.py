@@ -47,7 +47,7 @@ def _signatures(size: int, least_words: int):
             starts = first[:-1][kept]
             spread = mix(sets)
             short = (spread >> np.uint64(32)).astype(np.uint32)
-            sketch = np.empty((len(kept), len(factors)), np.uint32)
+            sketch = np.empty((len(kept), len(factors)), np.uint16)  # of a minimum 16 bits tell it from others: a key has 64
             for i in range(len(factors)):
                 sketch[:, i] = np.minimum.reduceat((short ^ offsets[i]) * factors[i], starts)
             yield pd.DataFrame(
@@ -67,7 +67,7 @@ def _meeting_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if not len(batch):
             continue
-        sketch = np.frombuffer(b"".join(batch["sketch"]), np.uint32).reshape(len(batch), REPEATS, PLACES)
+        sketch = np.frombuffer(b"".join(batch["sketch"]), np.uint16).reshape(len(batch), REPEATS, PLACES)
         keys = np.zeros((len(batch), REPEATS, len(MASKS)), np.uint64)
         for m, places in enumerate(MASKS):
             h = np.arange(REPEATS, dtype=np.uint64) * np.uint64(len(MASKS)) + np.uint64(m)
