@@ -26,9 +26,9 @@ from corpusgraph.sources.tables import table
 
 #: Bounds of the model: marked documents to fit on, terms kept, combinations that a beam keeps.
 MAX_LABELLED, MAX_TERMS, BEAM = 20_000, 20_000, 8
-#: A term is kept if it is seen in so many marked documents, or sentences of the corpus, and so much more often with a subject than chance has it.
-LEAST_DOCUMENTS, LEAST_SEEN, LEAST_LIFT, LEAST_GAIN = 2, 8, 3.0, 4.0
-#: Among the sentences about any subject, a term's odds for its subject must exceed the subject's own so many times.
+#: A term is kept if it is seen in so many marked documents, or sentences of the corpus, and with its subject beyond chance by so many nats.
+LEAST_DOCUMENTS, LEAST_SEEN, LEAST_GAIN = 2, 8, 4.0
+#: A term's odds for its subject must exceed the subject's own so many times, in all and among what is about any subject.
 LEAST_ODDS = 3.5
 #: A term stands for a subject only if so great a share of its sentences or marked documents are about it.
 LEAST_PURITY = 0.3
@@ -184,10 +184,12 @@ def associate(term: np.ndarray, counts: np.ndarray, seen: np.ndarray, totals: np
     row = np.arange(len(term))
     c, expected = counts[row, best], seen * base[best]
     gain = np.where(c > expected, c * np.log(np.maximum(c, 1e-9) / np.maximum(expected, 1e-9)) - (c - expected), 0)
-    about = counts.sum(axis=1)
-    share = (totals / max(totals.sum(), 1.0))[best]
-    odds = (c + share) / np.maximum(about - c + 1 - share, 1e-9) * (1 - share) / np.maximum(share, 1e-9)
-    good = np.flatnonzero((seen >= least_seen) & (lift[row, best] >= LEAST_LIFT) & (gain >= LEAST_GAIN) & (odds >= LEAST_ODDS) & (c >= LEAST_PURITY * seen))
+
+    def odds(among: np.ndarray, share: np.ndarray) -> np.ndarray:
+        return (c + share) / np.maximum(among - c + 1 - share, 1e-9) * (1 - share) / np.maximum(share, 1e-9)
+
+    apart = (odds(seen, np.minimum(base, 1)[best]) >= LEAST_ODDS) & (odds(counts.sum(axis=1), (totals / max(totals.sum(), 1.0))[best]) >= LEAST_ODDS)
+    good = np.flatnonzero((seen >= least_seen) & (gain >= LEAST_GAIN) & apart & (c >= LEAST_PURITY * seen))
     good = good[np.argsort(-gain[good], kind="stable")[:most]]
     good = good[np.argsort(term[good])]
     return Terms(term[good], np.clip(np.log(np.maximum(lift[good], 1e-3)), -2.5, 4.0))
