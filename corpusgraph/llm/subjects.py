@@ -248,9 +248,10 @@ def _collect_terms(counted: DataFrame, subjects: int, least: int) -> Terms:
     sums = counted.groupBy("term").agg(*[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(subjects + 1)])
     seen = F.col(f"n{subjects}")
     top = F.greatest(*[F.col(f"n{i}") for i in range(subjects)])
-    total = np.array(sums.where("term = 0").collect()[0][1:], float)
-    # a term's greatest count against what is expected of a term seen so often, for a subject as frequent as the most frequent one
-    rows = sums.where((F.col("term") != 0) & (seen >= least) & (top > 0)).orderBy((top * top / seen).desc(), "term").limit(5 * MAX_TERMS).toPandas()
+    # by a term's greatest count against its frequency; the totals come with the same job
+    rows = sums.where((F.col("term") == 0) | ((seen >= least) & (top > 0))).orderBy((F.col("term") == 0).desc(), (top * top / seen).desc(), "term").limit(5 * MAX_TERMS + 1).toPandas()
+    total = rows.iloc[0, 1:].to_numpy(float)
+    rows = rows.iloc[1:]
     values = rows.drop(columns="term").to_numpy(float)
     term = rows["term"].to_numpy(np.int64).view(np.uint64)
     return associate(term, values[:, :subjects], values[:, subjects], total[:subjects], total[subjects], least)
