@@ -16,8 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: One word a parent key is 64 bits a key; the false-positive rate is then below one in ten thousand.
-MAX_WORDS = 1 << 20
+#: One word for every four parent keys is 16 bits a key: fewer than one in a hundred absent keys pass.
+KEYS_PER_WORD, MAX_WORDS = 4, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -69,7 +69,7 @@ def orphans(ref: Reference, max_words: int = MAX_WORDS) -> DataFrame:
     parent = ref.parent.select(*[F.col(p).alias(n) for (_, p), n in zip(ref.keys, names)], F.col(ref.parent_time).alias("since")).dropna(subset=names)
     wanted = parent.agg(F.approx_count_distinct(F.xxhash64(*names)).alias("n"))
     count = wanted.collect()[0]["n"]
-    words = min(max_words, max(1024, 1 << max(0, count - 1).bit_length()))
+    words = min(max_words, max(1024, 1 << max(0, count // KEYS_PER_WORD - 1).bit_length()))
 
     h = F.xxhash64(*names)
     probed = child.withColumn("word", _word(h, words)).withColumn("mask", _mask(h))

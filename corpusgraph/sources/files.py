@@ -25,6 +25,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def utf8(content: Column | str) -> Column:
+    """Bytes as text, with the replacement character for what isn't UTF-8."""
+    return F.make_valid_utf8(text.col(content).cast("string"))
+
+
 def json_lines(spark: SparkSession, path: str, schema: StructType | str, strict: bool = False) -> DataFrame:
     """Rows of a file with one JSON object a line; blank lines are skipped. A missing file is empty, or an error if ``strict``, as is bad JSON."""
     if not _exists(spark, path):
@@ -35,7 +40,7 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str, strict:
 
 
 def binary_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Files below ``root`` as ``(path, bytes, content)``, the path being relative."""
+    """Files below ``root`` as ``(path, bytes, content)``, the path being relative. Spark skips names that begin with a dot or an underscore."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").removeprefix("file://")
     return raw.select(F.regexp_replace(F.regexp_replace("path", r"^file:(//)?", ""), "^" + re.escape(base) + "/", "").alias("path"), F.col("length").alias("bytes"), "content")
@@ -67,7 +72,7 @@ def project_roots(files: DataFrame, manifests: tuple[str, ...]) -> DataFrame:
 
 def html_pages(files: DataFrame, tag: str = "div", css: str | None = None) -> DataFrame:
     """Pages as documents: Markdown text, title (or the folder's name), route, address and modification time."""
-    parsed = files.withColumn("page", html.page_column(F.decode("content", "UTF-8"), tag, css))
+    parsed = files.withColumn("page", html.page_column(utf8("content"), tag, css))
     folder = F.element_at(F.split("path", "/"), -2)
     return parsed.select("path", text.route("path").alias("route"), "page.text", F.coalesce("page.title", F.when(F.contains("path", F.lit("/")), folder), F.lit("")).alias("title"), "page.source_uri", "page.modified")
 
@@ -119,7 +124,7 @@ def source_maps(spark: SparkSession, path: str) -> DataFrame:
 
 def guides(files: DataFrame) -> DataFrame:
     """Markdown guides with their title: the first heading of level one, else the file's stem."""
-    content = F.decode("content", "UTF-8")
+    content = utf8("content")
     title = F.regexp_extract(content, r"(?m)^#\s+(.+)$", 1)
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]+$", "")
     return files.where(F.lower("path").endswith(".md")).select("path", F.when(title == "", stem).otherwise(F.trim(title)).alias("title"), content.alias("text"))
@@ -136,7 +141,7 @@ def log_window(files: DataFrame, window: int = LOG_WINDOW) -> DataFrame:
     Bytes that aren't UTF-8 become the replacement character. A window that starts inside the file drops its first, partial line.
     """
     part = F.expr(f"substring(content, greatest(1, length(content) - {int(window)} + 1))")
-    decoded = F.decode(part, "UTF-8")
+    decoded = utf8(part)
     cut = F.when(F.col("bytes") > window, F.regexp_replace(decoded, r"(?s)^[^\n]*\n", "")).otherwise(decoded)
     shown = files.where(~F.contains(decoded, F.lit("\0")))
     return shown.select("path", F.posexplode(F.split(F.regexp_replace(cut, r"\r?\n$", ""), r"\r?\n")).alias("at", "line")).select("path", (F.col("at") + 1).alias("line_no"), text.redact("line").alias("line"))
@@ -166,5 +171,5 @@ def api_bundles(files: DataFrame) -> DataFrame:
                     break
             yield pd.DataFrame(rows, columns=["path", "method", "route", "title"])
 
-    found = files.select("path", F.decode("content", "UTF-8").alias("script")).mapInPandas(run, "path string, method string, route string, title string")
+    found = files.select("path", utf8("content").alias("script")).mapInPandas(run, "path string, method string, route string, title string")
     return found.groupBy("method", "route").agg(F.max_by(F.struct("path", "title"), "path").alias("x")).select("x.path", "method", "route", "x.title")
