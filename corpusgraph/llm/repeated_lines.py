@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgraph.plans.joins import join_checked
 from corpusgraph.plans.lineage import cut
 from corpusgraph.plans.ordinals import assign_ordinals, block_of, place_of
 from corpusgraph.sources.tables import table
@@ -67,7 +68,7 @@ def repeated_lines(
         lines.groupBy("source", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_documents).join(totals, "source").where(F.col("n") >= floor).select("source", "line")
     )
     frequent = cut(frequent, "frequent-lines")
-    where = lines.join(frequent, ["source", "line"]).select("source", "line", "variant", "document").distinct()
+    where = join_checked(lines, frequent, ["source", "line"]).select("source", "line", "variant", "document").distinct()
     bitmaps = (
         where.join(ordinals, ["source", "document"])
         .groupBy("source", "line", "variant", block_of("ordinal").alias("block"))
@@ -76,7 +77,7 @@ def repeated_lines(
     united = bitmaps.groupBy("source", "line", "block").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
     exact = united.groupBy("source", "line").agg(F.sum(F.bitmap_count("bitmap")).alias("n"))
     repeated = exact.join(totals, "source").where((F.col("n") * 100 >= F.col("documents") * percent) & (F.col("n") >= least_documents)).select("source", "line")
-    return lines.join(cut(repeated, "repeated-lines"), ["source", "line"], "left_semi").select("record", "line_no")
+    return join_checked(lines, cut(repeated, "repeated-lines"), ["source", "line"], "left_semi").select("record", "line_no")
 
 
 def without_lines(records: DataFrame, key: str, found: DataFrame, text: str = "text") -> DataFrame:
