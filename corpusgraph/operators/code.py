@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,8 +187,20 @@ def _stems(file: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
 
 
+def _listed_uses(meta: DataFrame) -> DataFrame:
+    """Items of the lists below a ``Using`` key: indented deeper than the key and before the next line that isn't."""
+    indent = F.length(F.regexp_extract("line", r"^(\s*)", 1))
+    key = F.lower(F.regexp_extract("line", r"^\s*([^\s:#]+):\s*$", 1)).isin("using", "использование")
+    by_file = Window.partitionBy("path").orderBy("line_no")  # a file's own lines
+    kept = meta.where(F.trim("line") != "").withColumn("indent", indent).withColumn("key", key)
+    started = kept.withColumn("at", F.last(F.when(F.col("key") | F.col("line").rlike(SCALAR), F.struct("key", "indent")), True).over(by_file))
+    item = F.regexp_extract("line", r"^\s*-\s*([^#]+?)\s*$", 1)
+    value = F.regexp_replace(item, r"^(['\"])(.*)\1$", "$2")
+    return started.where(F.col("at.key") & ~F.col("key") & (F.col("indent") > F.col("at.indent"))).withColumn("value", value).where("value <> ''")
+
+
 def facts(files: DataFrame) -> DataFrame:
-    """Facts of files in long form: ``(path, fact_type, value, line_no)``: imports, declarations, handlers, types and UUIDs."""
+    """Facts of files in long form: ``(path, fact_type, value, line_no)``: imports, declarations, handlers, types, used subsystems, UUIDs and identifiers."""
     code = code_lines(files.where(~F.lower("path").rlike(r"\.ya?ml$")), "path")
     meta = code_lines(files.where(F.lower("path").rlike(r"\.ya?ml$")), "path", mask=False)
     imported = code.where(F.col("code").rlike(IMPORT)).select("path", F.lit("import").alias("fact_type"), F.regexp_extract("code", IMPORT, 2).alias("value"), "line_no")
@@ -196,35 +208,10 @@ def facts(files: DataFrame) -> DataFrame:
     keyed = meta.where(F.col("line").rlike(SCALAR)).select("path", F.lower(F.trim(F.regexp_extract("line", SCALAR, 2))).alias("key"), F.regexp_replace(F.trim(F.regexp_extract("line", SCALAR, 3)), r"^(['\"])(.*)\1$", "$2").alias("value"), "line_no").where("value <> ''")
     handlers = keyed.where(F.col("key").isin("handler", "обработчик")).select("path", F.lit("handler").alias("fact_type"), "value", "line_no")
     types = keyed.where(F.col("key").isin("type", "тип")).select("path", F.lit("type").alias("fact_type"), F.explode(F.regexp_extract_all("value", F.lit(r"(?U)[^\W\d]\w*(?:(?:::|\.)[^\W\d]\w*)*"), F.lit(0))).alias("value"), "line_no")
+    uses = _listed_uses(meta).select("path", F.lit("using").alias("fact_type"), "value", "line_no")
     ids = meta.select("path", F.lit("uuid").alias("fact_type"), F.explode(text.uuids("line")).alias("value"), "line_no")
     names = identifiers(code, "path").select("path", F.lit("identifier").alias("fact_type"), "value", "line_no")
     out = imported
-    for df in (declared, handlers, types, ids, names):
+    for df in (declared, handlers, types, uses, ids, names):
         out = out.unionByName(df)
     return out
-
-
-def dependency_edges(found: DataFrame, owners: DataFrame, known: DataFrame) -> DataFrame:
-    """Edges ``(source, target, type, confidence, path, line_no, value)`` from facts, where a name or id fits one element only.
-
-    ``owners`` maps ``path`` to ``element`` (its metadata path), ``known`` has the elements. Self-references are left out; identifiers that first
-    stand on an import line too.
-    """
-    from corpusgraph.operators.graph import unique_match
-
-    owned = found.join(owners, "path")
-    named = known.select(F.col("name").alias("value"), F.col("metadata_path").alias("element"))
-    ids = known.where(F.col("element_id").isNotNull()).select(F.col("element_id").alias("value"), F.col("metadata_path").alias("element"))
-    kinds = {"import": ("imports_element", "high"), "type": ("yaml_type_reference", "high"), "identifier": ("lexical_reference", "medium")}
-    imports = found.where("fact_type = 'import'").select("path", "line_no")
-    out = None
-    for fact, (kind, confidence) in kinds.items():
-        rows = owned.where(F.col("fact_type") == fact).withColumn("value", text.last_name("value") if fact != "identifier" else F.col("value")).withColumnRenamed("element", "source")
-        if fact == "identifier":
-            rows = rows.join(imports, ["path", "line_no"], "left_anti")
-        hits = unique_match(rows, named, "value", [], "element").where("resolution = 'exact'")
-        part = hits.select("source", "target", F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"), "path", "line_no", "value")
-        out = part if out is None else out.unionByName(part)
-    by_id = unique_match(owned.where("fact_type = 'uuid'").withColumnRenamed("element", "source"), ids, "value", [], "element").where("resolution = 'exact'")
-    out = out.unionByName(by_id.select("source", "target", F.lit("yaml_id_reference").alias("type"), F.lit("high").alias("confidence"), "path", "line_no", "value"))
-    return out.where("source <> target").dropDuplicates(["source", "target", "type", "path", "line_no", "value"])

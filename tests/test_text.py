@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import html, markdown, text
-from corpusgraph.operators import code, corpus, datasets, diagnostics, graph, search
+
+from corpusgraph.operators import code, corpus, datasets, diagnostics, graph, project, search
+from corpusgraph.plans.lineage import cut
 
 
 def one(spark, expression, value):
@@ -113,12 +115,42 @@ def test_elements_declarations_and_references(spark, files):
     assert code.lookup(found, "onopen").collect()[0].resolution == "exact"
 
 
-def test_dependency_edges(spark, files):
-    known = code.elements(files)
-    owners = known.select("metadata_path", F.explode(F.concat(F.array("metadata_path"), "implementation_files")).alias("path")).withColumnRenamed("metadata_path", "element")
-    edges = {(r.source, r.target, r.type) for r in code.dependency_edges(code.facts(files), owners, known).collect()}
-    o, d = "Sales/Orders.yaml", "Sales/OrderDto.yaml"
-    assert edges == {(o, d, "yaml_type_reference"), (o, d, "imports_element"), (d, o, "yaml_id_reference")}
+def test_the_project_graph(spark, files):
+    extra = [
+        ("Sales/OrderDto.xbsl", "import Sales::Orders\nimport Nowhere\nimport std::x\nmethod Twice()\n"),
+        ("Using.yaml", "ElementKind: Part\nName: orders\nUsing:\n  - Sales\n  - 'Gone'\nHandler: Twice\nOther: 1\n"),
+        ("Lost.yaml", "ElementKind: Part\nName: Lost\nHandler: Missing\nId: 6D6EE9BA-6b8b-4b7a-9a2e-0c9b3f0f1a11\n"),
+        ("Alone.xbql", "x\n"),
+    ]
+    all_files = files.unionByName(spark.createDataFrame(extra, files.schema))
+    elements, facts = (cut(df(all_files)) for df in (code.elements, code.facts))
+    edges, issues = cut(project.edges(elements, facts)), cut(project.issues(elements, facts))
+    name = {r.id: r.path or r.name for r in project.nodes(elements, facts).collect()}
+    got = {(name[r.source], name[r.target], r.type, r.confidence) for r in edges.where(F.col("type").isin(graph.DEPENDENCY)).collect()}
+    o, d, u, lost = "Sales/Orders.yaml", "Sales/OrderDto.yaml", "Using.yaml", "Lost.yaml"
+    kinds = {(a, b, t) for a, b, t, _ in got}
+    assert {(o, d, "yaml_type_reference"), (d, "Sales", "imports_subsystem"), (u, "Sales", "uses_subsystem"), (o, "Sales/Orders.xbsl", "yaml_handler"), (u, "Sales/OrderDto.xbsl", "yaml_handler")} <= kinds
+    found = {(r.code, r.path, r.value) for r in issues.collect()}
+    assert found == {
+        ("duplicate_element_id", o, "6d6ee9ba-6b8b-4b7a-9a2e-0c9b3f0f1a11"), ("ambiguous_element_name", o, "orders"), ("orphan_source_file", "Alone.xbql", None),
+        ("unresolved_import", "Sales/OrderDto.xbsl", "Nowhere"), ("unresolved_import", "Sales/Orders.xbsl", "OrderDto"), ("unresolved_import", u, "Gone"), ("missing_handler", lost, "Missing"),
+    }
+    assert project.structure_status(issues).collect()[0].status == "invalid"
+    assert [r.name for r in project.unused(elements, edges).select("name").orderBy("name").collect()][-1] == "orders"
+    assert project.select_element(elements, "ORDERS").collect()[0].resolution == "selection_required"
+    assert [r.name for r in project.list_elements(elements, kind="structure", search="dto").collect()] == ["OrderDto"]
+    summary = {r.subsystem: r for r in project.subsystem_summary(elements, facts).collect()}
+    assert summary["Sales"].elements == 3 and summary["Sales"].methods == 2 and summary["Unknown"].kinds["Part"] == 2
+    page = project.nodes(elements, facts).where("type = 'element'").select("id")
+    assert {r.type for r in project.dependency_page(edges, page).collect()} == {"yaml_type_reference", "yaml_id_reference"}
+    assert {r.element_kind: r.with_sources for r in project.overview(elements).collect()}["CommonModule"] == 1
+
+
+def test_incremental_facts(spark):
+    files = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, sha256 string")
+    cached = spark.createDataFrame([("a", "1"), ("b", "0"), ("d", "4")], "path string, sha256 string")
+    fresh, gone = project.changed_files(files, cached)
+    assert sorted(r.path for r in fresh.collect()) == ["b", "c"] and [r.path for r in gone.collect()] == ["d"]
 
 
 def test_walks_cycles_and_matches(spark):
