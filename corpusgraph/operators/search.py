@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
+import re
 import struct
 from collections import Counter
 from collections.abc import Iterator
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text
+from corpusgraph.plans.lineage import cut
 
 #: Fixed values of the ranking: BM25, weights of the fields, fusion.
 K1, B = 1.2, 0.75
@@ -23,9 +26,13 @@ FUSION, LEXICAL_SHARE, VECTOR_SHARE = 50, 2.0, 0.65
 DIMENSIONS = 384
 
 
-def _field_words(chunks: DataFrame, field: str) -> Column:
+def _field_text(chunks: DataFrame, field: str) -> Column:
     c = F.col(field)
-    return text.words(F.coalesce(F.array_join(c, " ") if dict(chunks.dtypes)[field].startswith("array") else c, F.lit("")))
+    return F.coalesce(F.array_join(c, " ") if dict(chunks.dtypes)[field].startswith("array") else c, F.lit(""))
+
+
+def _field_words(chunks: DataFrame, field: str) -> Column:
+    return text.words(_field_text(chunks, field))
 
 
 def postings(chunks: DataFrame, key: str, fields: dict[str, float] = FIELDS) -> DataFrame:
@@ -44,15 +51,17 @@ def bm25(chunks: DataFrame, query: str, key: str, limit: int, fields: dict[str,
     A row matches if any term occurs. Statistics cover the whole table, filters come after them. Without an index, one pass
     gathers the statistics (one row a task is shuffled) and one scores; words never leave their row.
     """
-    terms = list(dict.fromkeys(w for t in text.query_terms(query) for w in __import__("re").findall(r"[^\W_]+", t)))
+    terms = list(dict.fromkeys(w for t in text.query_terms(query) for w in re.findall(r"[^\W_]+", t)))
     present = {f: w for f, w in fields.items() if f in chunks.columns}
     kept = chunks if where is None else chunks.withColumn("__keep", where)
-    rows = kept.select("*", *[_field_words(chunks, f).alias(f"__w{i}") for i, f in enumerate(present)])
-    length = reduce(lambda a, b: a + b, [F.size(f"__w{i}") for i in range(len(present))])
+    rows = kept.select("*", *[F.lower(_field_text(chunks, f)).alias(f"__w{i}") for i, f in enumerate(present)])
+    length = reduce(lambda a, b: a + b, [F.size(text.words(f"__w{i}")) for i in range(len(present))])
 
     def tf(term: str) -> Column:
-        each = [F.lit(weight) * F.size(F.filter(f"__w{i}", lambda w: w == term)) for i, weight in enumerate(present.values())]
-        return reduce(lambda a, b: a + b, each)
+        """Whole words only; a field without the letters isn't searched by the expression."""
+        whole = rf"(?<![\p{{L}}\p{{N}}]){re.escape(term)}(?![\p{{L}}\p{{N}}])"
+        count = lambda c: F.when(F.contains(c, F.lit(term)), F.regexp_count(c, F.lit(whole))).otherwise(0)
+        return reduce(lambda a, b: a + b, [F.lit(weight) * count(F.col(f"__w{i}")) for i, weight in enumerate(present.values())])
 
     keep = [F.col(key)] if where is None else [F.col(key), F.col("__keep")]
     scored = rows.select(*keep, length.alias("__length"), *[tf(t).alias(f"__t{i}") for i, t in enumerate(terms)])
@@ -71,7 +80,6 @@ def bm25(chunks: DataFrame, query: str, key: str, limit: int, fields: dict[str,
 
 def features(value: str) -> list[str]:
     """Words, their parts, letter trigrams and neighbouring pairs of a text, as hashed by the vectoriser."""
-    import re
     import unicodedata
 
     lexical, grams = [], []
@@ -86,6 +94,7 @@ def features(value: str) -> list[str]:
     return lexical + grams + [f"b:{a}+{b}" for a, b in zip(lexical, lexical[1:])]
 
 
+@functools.lru_cache(maxsize=1 << 18)
 def bucket(feature: str, dimensions: int = DIMENSIONS, person: bytes = b"features") -> tuple[int, float]:
     """Place and sign of a feature: a personalised 64-bit digest."""
     value = struct.unpack("<Q", hashlib.blake2b(feature.encode(), digest_size=8, person=person).digest())[0]
@@ -111,22 +120,31 @@ def vectorise(rows: DataFrame, key: str, content: Column, dimensions: int = DIME
     def encode(values: pd.Series) -> pd.Series:
         return values.map(lambda v: raw_vector(v or "", dimensions, person))
 
-    raw = rows.select(key, encode(content).alias("raw"))
+    raw = cut(rows.select(key, encode(content).alias("raw")), "raw-vectors")  # the texts are read once
     used = raw.select(F.posexplode("raw").alias("place", "x")).where("x <> 0").groupBy("place").agg(F.count("*").alias("df"))
     n = rows.agg(F.count("*").alias("n"))
     places = rows.sparkSession.range(dimensions).select(F.col("id").cast("int").alias("place"))
     idf = places.join(used, "place", "left").crossJoin(n).select("place", (F.ln((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"))
-    weights = F.broadcast(idf.agg(F.sort_array(F.collect_list(F.struct("place", "idf"))).alias("w")))  # one row of ``dimensions`` numbers
-    weighted = raw.crossJoin(weights).select(key, F.zip_with("raw", "w", lambda x, w: x * w["idf"]).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    unit = weighted.withColumn("norm", norm).select(key, F.transform("v", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0).cast("float")).alias("embedding"))
-    return unit, idf
+    weights = np.array([r["idf"] for r in idf.orderBy("place").collect()], np.float32)  # one number a dimension
+
+    @F.pandas_udf("array<float>")
+    def weigh(vectors: pd.Series) -> pd.Series:
+        scaled = np.stack(vectors.to_list()) * weights if len(vectors) else np.zeros((0, dimensions), np.float32)
+        norms = np.linalg.norm(scaled, axis=1, keepdims=True)
+        return pd.Series(list(np.divide(scaled, norms, out=np.zeros_like(scaled), where=norms > 0)))
+
+    return raw.select(key, weigh("raw").alias("embedding")), idf
 
 
 def cosine_to(vector: Column, query: list[float]) -> Column:
-    """Dot product with a literal query vector."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return F.aggregate(F.zip_with(vector, q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
+    """Dot product with a query vector, a matrix product for each Arrow batch."""
+    q = np.asarray(query, np.float64)
+
+    @F.pandas_udf("double")
+    def dot(vectors: pd.Series) -> pd.Series:
+        return pd.Series(np.stack(vectors.to_list()).astype(np.float64) @ q if len(vectors) else np.zeros(0))
+
+    return dot(vector)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 1024) -> DataFrame:
