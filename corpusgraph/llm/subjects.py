@@ -286,28 +286,51 @@ class Block:
         return Block(np.concatenate([*batch["words"], np.zeros(0, np.int32)]).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes), text, len(batch))
 
 
+#: Words that are handled at once; only a longer single text takes more.
+_WORDS_AT_ONCE = 300_000
+
+
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Block]]:
+    """The rows of the batches in runs of about so many words, however long the texts."""
+    for batch in batches:
+        total = np.cumsum([len(w) for w in batch["words"]])
+        first = 0
+        while first < len(batch):
+            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + _WORDS_AT_ONCE, "right")))
+            part = batch.iloc[first:last]
+            yield part, Block.of(part)
+            first = last
+
+
 # terms: clusters and their subjects
 
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of each term of a partition the number of its sentences, and the sum of its documents' random signs, weighted by log frequency."""
-    seen, sums = np.zeros(PLACES), np.zeros((PLACES, SKETCH), np.float32)
+    seen, row = np.zeros(PLACES), np.full(PLACES, -1)
+    sums = np.zeros((1024, SKETCH), np.float32)  # of the terms met so far
+    known = 0
     bit = np.arange(64, dtype=np.uint64)
-    for batch in batches:
-        b = Block.of(batch)
-        seen += np.bincount(b.words, minlength=PLACES)
-        pair, n = np.unique(b.words * b.rows + b.text[b.sentence], return_counts=True)
-        if not len(pair):
-            continue
-        term, text = pair // b.rows, pair % b.rows
-        document = batch["document"].to_numpy(np.int64).view(np.uint64)
+    for part, b in _parts(batches):
+        document = part["document"].to_numpy(np.int64).view(np.uint64)
         drawn = [(mix(document + np.uint64(i))[:, None] >> bit) & np.uint64(1) for i in range(SKETCH // 64)]
         signs = np.hstack(drawn).astype(np.float32) * 2 - 1
-        new = np.concatenate([[0], np.flatnonzero(term[1:] != term[:-1]) + 1])
-        sums[term[new]] += np.add.reduceat(np.log1p(n).astype(np.float32)[:, None] * signs[text], new, axis=0)
+        seen += np.bincount(b.words, minlength=PLACES)
+        pair, n = np.unique(b.words * b.rows + b.text[b.sentence], return_counts=True)
+        weight = np.log1p(n).astype(np.float32)
+        for at in range(0, len(pair), 1 << 16):
+            term, text = pair[at : at + (1 << 16)] // b.rows, pair[at : at + (1 << 16)] % b.rows
+            new = np.concatenate([[0], np.flatnonzero(term[1:] != term[:-1]) + 1])
+            fresh = term[new][row[term[new]] < 0]
+            row[fresh] = known + np.arange(len(fresh))
+            known += len(fresh)
+            if known > len(sums):
+                sums = np.vstack([sums, np.zeros((max(known - len(sums), len(sums)), SKETCH), np.float32)])
+            sums[row[term[new]]] += np.add.reduceat(weight[at : at + (1 << 16), None] * signs[text], new, axis=0)
     used = np.flatnonzero(seen)
-    if len(used):
-        yield pd.DataFrame({"term": used, "n": list(np.hstack([seen[used][:, None], sums[used]]))})
+    for at in range(0, len(used), 8192):
+        own = used[at : at + 8192]
+        yield pd.DataFrame({"term": own, "n": list(np.hstack([seen[own][:, None], sums[row[own]]]).astype(np.float32))})
 
 
 def _summed(parts: DataFrame, width: int, least: int = 1) -> pd.DataFrame:
@@ -354,13 +377,12 @@ def _cluster_counts(cluster_of: np.ndarray, clusters: int):
     """Of each text its clusters and their numbers of sentences and words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            b = Block.of(batch)
+        for part, b in _parts(batches):
             own = cluster_of[b.words]
             known = own >= 0
             pair, n = np.unique(b.text[b.sentence[known]] * clusters + own[known], return_counts=True)
             ends = np.searchsorted(pair, np.arange(1, b.rows) * clusters)
-            yield pd.DataFrame({"record": batch["record"], "clusters": np.split((pair % clusters).astype(np.int32), ends), "n": np.split(n.astype(np.int32), ends)})
+            yield pd.DataFrame({"record": part["record"], "clusters": np.split((pair % clusters).astype(np.int32), ends), "n": np.split(n.astype(np.int32), ends)})
 
     return run
 
@@ -409,8 +431,7 @@ def _sentence_terms(terms: Terms, subjects: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((subjects + 1, PLACES + 1))
-        for batch in batches:
-            b = Block.of(batch)
+        for _, b in _parts(batches):
             best = terms.subjects(b.words, b.sentence, b.text, b.rows)
             sums[0, :PLACES] += np.bincount(b.words, minlength=PLACES)
             sums[0, PLACES] += len(best)
@@ -425,7 +446,7 @@ def _sentence_terms(terms: Terms, subjects: int):
     return run
 
 
-_SUMS = "term bigint, n array<double>"
+_SUMS, _SKETCHED = "term bigint, n array<double>", "term bigint, n array<float>"
 
 
 def _description_places(text: str) -> np.ndarray:
@@ -436,7 +457,7 @@ def _description_places(text: str) -> np.ndarray:
 
 def _learn_terms(tokens: DataFrame, sample: DataFrame, marks: pd.DataFrame, subjects: int, descriptions: list[str]) -> Terms:
     """Terms and their weights: clusters, their names, and what the sentences they explain tell of every term."""
-    rows = _summed(tokens.select("document", "words", "sizes").mapInPandas(_sketches, _SUMS), SKETCH + 1, LEAST_CLUSTERED)
+    rows = _summed(tokens.select("document", "words", "sizes").mapInPandas(_sketches, _SKETCHED), SKETCH + 1, LEAST_CLUSTERED)
     values = rows.drop(columns="term").to_numpy(float)
     place = rows["term"].to_numpy(int)
     label = cluster(values[:, 1:], values[:, 0])
@@ -482,10 +503,9 @@ def _learn_terms(tokens: DataFrame, sample: DataFrame, marks: pd.DataFrame, subj
 # features, classifiers, decoding
 
 
-def _features(batch: pd.DataFrame, terms: Terms) -> np.ndarray:
+def _features(batch: pd.DataFrame, b: Block, terms: Terms) -> np.ndarray:
     """Of each row: sentences and share by subject; source and kind; structure; a constant."""
     n, s = len(batch), terms.weights.shape[1]
-    b = Block.of(batch)
     best = terms.subjects(b.words, b.sentence, b.text, n)
     about = best >= 0
     counts = np.bincount(b.text[about] * s + best[about], minlength=n * s).reshape(n, s).astype(float)
@@ -632,9 +652,8 @@ def fit_subjects(
     terms = _learn_terms(tokens, sample, own, n, [r["description"] or "" for r in known])
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield pd.DataFrame({"record": batch["record"], "x": list(_features(batch, terms))})
+        for part, b in _parts(batches):
+            yield pd.DataFrame({"record": part["record"], "x": list(_features(part, b, terms))})
 
     fitted = sample.mapInPandas(features, f"record {record}, x array<double>").toPandas().merge(own, on="record").sort_values("record", kind="stable")
     y = np.zeros((len(fitted), n))
@@ -653,12 +672,12 @@ def assign_subjects(model: SubjectModel) -> DataFrame:
     terms, chain = model.terms, model.chain
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if chain is None or not len(batch):
+        for part, b in _parts(batches):
+            if chain is None:
                 continue
-            x = _features(batch, terms)
+            x = _features(part, b, terms)
             at, subject = np.nonzero(chain.decode(x) & (x[:, : len(names)] > 0))
-            yield pd.DataFrame({"record": batch["record"].to_numpy()[at], "subject": names[subject]})
+            yield pd.DataFrame({"record": part["record"].to_numpy()[at], "subject": names[subject]})
 
     return model.tokens.mapInPandas(run, f"record {model.tokens.schema['record'].dataType.simpleString()}, subject string")
 
