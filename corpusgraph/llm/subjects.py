@@ -387,35 +387,39 @@ def _cluster_counts(cluster_of: np.ndarray, clusters: int):
     return run
 
 
-def name_clusters(counts: np.ndarray, spread: np.ndarray, marks: np.ndarray, described: np.ndarray) -> np.ndarray:
+def name_clusters(document: np.ndarray, cluster_of: np.ndarray, count: np.ndarray, spread: np.ndarray, marks: np.ndarray, described: np.ndarray) -> np.ndarray:
     """Of each cluster the number of its subject, or -1.
 
-    ``counts`` has the words of each marked document by cluster, ``spread`` the share of all documents that a cluster stands in,
-    ``marks`` the documents' subjects, ``described`` the words of each subject's description by cluster. Each mark is shared among the
-    clusters of its document by weight and by what they have explained elsewhere, or is taken as wrong.
+    ``count`` is the number of words that a marked document has of a cluster, ``spread`` the share of all documents that a cluster
+    stands in, ``marks`` the documents' subjects, ``described`` the words of each subject's description by cluster. Each mark is
+    shared among the clusters of its document by weight and by what they have explained elsewhere, or is taken as wrong.
     """
     clusters, subjects = described.shape
-    base = (marks.sum(axis=0) + 0.5) / (len(marks) + 0.5 * subjects)
+    documents = len(marks)
+    base = (marks.sum(axis=0) + 0.5) / (documents + 0.5 * subjects)
     seed = np.minimum(described, 2) * DESCRIBED
-    weight = counts * np.log(1 / np.maximum(spread, 1e-9)) ** 2
+    prior = 0.3 * base / base.sum() + seed
+    weight = count * np.log(1 / np.maximum(spread, 1e-9))[cluster_of] ** 2
     aside = np.zeros(clusters, bool)
     row = np.arange(clusters)
+    of_subject = [np.flatnonzero(marks[document, s] > 0) for s in range(subjects)]
     for _ in range(8):
-        share = weight * ~aside
-        share = share / np.maximum(share.sum(axis=1, keepdims=True), 1e-9)
-        prior = 0.3 * base / base.sum() + seed
+        share = weight * ~aside[cluster_of]
+        share = share / np.maximum(np.bincount(document, share, documents), 1e-9)[document]
         explains = prior / prior.sum(axis=1, keepdims=True)
         for _ in range(40):
             taken = np.zeros((clusters, subjects))
-            for s in range(subjects):
-                marked = marks[:, s] > 0
-                r = share[marked] * explains[:, s]
-                taken[:, s] = (r / (r.sum(axis=1, keepdims=True) + WRONG_MARKS * base[s])).sum(axis=0)
-            posterior = taken + prior
-            explains = posterior / posterior.sum(axis=1, keepdims=True)
+            for s, at in enumerate(of_subject):
+                r = share[at] * explains[cluster_of[at], s]
+                whole = np.bincount(document[at], r, documents) + WRONG_MARKS * base[s]
+                taken[:, s] = np.bincount(cluster_of[at], r / whole[document[at]], clusters)
+            before = explains
+            explains = (taken + prior) / (taken + prior).sum(axis=1, keepdims=True)
+            if np.abs(explains - before).max(initial=0) < 1e-4:
+                break
         best = explains.argmax(axis=1)
-        agreeing = np.einsum("dc,dc->c", share, marks[:, best]) + seed[row, best]
-        strength = share.sum(axis=0) + seed.sum(axis=1)
+        agreeing = np.bincount(cluster_of, share * marks[document, best[cluster_of]], clusters) + seed[row, best]
+        strength = np.bincount(cluster_of, share, clusters) + seed.sum(axis=1)
         own = base[best]
         odds = (agreeing + own) / (strength - agreeing + 1 - own) * (1 - own) / own
         now = aside | ((strength >= 1) & (odds < ODDS_ASIDE))
@@ -474,11 +478,11 @@ def _learn_terms(tokens: DataFrame, sample: DataFrame, marks: pd.DataFrame, subj
     spread[met["c"].to_numpy(int)] = met["n"].to_numpy() / max(tokens.count(), 1)
     own = sample.select(*columns).mapInPandas(counted, shape).toPandas()
     own = marks.merge(own, on="record", how="inner")
-    counts = np.zeros((len(own), clusters))
     labels = np.zeros((len(own), subjects))
-    for i, (of, n, m) in enumerate(zip(own["clusters"], own["n"], own["marks"])):
-        counts[i, of] = n
+    for i, m in enumerate(own["marks"]):
         labels[i, list(m)] = 1
+    document = np.repeat(np.arange(len(own)), [len(c) for c in own["clusters"]])
+    of_word, count = (np.concatenate([*own[c], np.zeros(0, np.int32)]).astype(np.int64) for c in ("clusters", "n"))
     described = np.zeros((clusters, subjects))
     said = np.zeros((subjects, PLACES), bool)
     for s, text in enumerate(descriptions):
@@ -486,7 +490,7 @@ def _learn_terms(tokens: DataFrame, sample: DataFrame, marks: pd.DataFrame, subj
     for s in range(subjects):  # a word of several descriptions tells nothing
         of = cluster_of[np.flatnonzero(said[s] & (said.sum(axis=0) == 1))]
         np.add.at(described[:, s], of[of >= 0], 1)
-    name = name_clusters(counts, spread, labels, described)
+    name = name_clusters(document, of_word, count, spread, labels, described)
     named = np.flatnonzero((cluster_of >= 0) & (name[cluster_of] >= 0))
     terms = Terms.of(named, 3.0 * np.eye(subjects)[name[cluster_of[named]]])
     for _ in range(ROUNDS):

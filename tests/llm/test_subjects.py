@@ -130,10 +130,14 @@ def test_clusters_compete_for_marks():
     """Function words stand in every document and are put aside; a wrong mark doesn't rename a cluster."""
     counts = np.array([[30, 9, 0]] * 6 + [[30, 0, 9]] * 6, float)
     marks = np.array([[1, 0]] * 5 + [[0, 1]] * 7, float)
-    name = sub.name_clusters(counts, np.array([1.0, 0.5, 0.5]), marks, np.zeros((3, 2)))
-    assert name.tolist() == [-1, 0, 1]
-    name = sub.name_clusters(counts * [1, 1, 0], np.array([1.0, 0.5, 0.5]), marks[:, :1] @ np.array([[1.0, 0.0]]), np.array([[0, 0], [0, 0], [0, 2.0]]))
-    assert name.tolist() == [-1, 0, 1]
+    def named(counts, *rest):
+        document, of = np.nonzero(counts)
+        return sub.name_clusters(document, of, counts[document, of], *rest).tolist()
+
+    name = named(counts, np.array([1.0, 0.5, 0.5]), marks, np.zeros((3, 2)))
+    assert name == [-1, 0, 1]
+    name = named(counts * [1, 1, 0], np.array([1.0, 0.5, 0.5]), marks[:, :1] @ np.array([[1.0, 0.0]]), np.array([[0, 0], [0, 0], [0, 2.0]]))
+    assert name == [-1, 0, 1]
 
 
 def features(counts):
