@@ -1,142 +1,64 @@
-"""Retrieval: lexical ranking, hashed vectors, fusion."""
+"""Retrieval from a stored index: lexical ranking, vectors, fusion, results."""
 
 from __future__ import annotations
 
-import functools
-import hashlib
-import math
 import re
-import struct
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text
-from corpusgraph.plans.lineage import cut
+from corpusgraph.operators.index import SearchIndex, bucket_of, query_vector
+from corpusgraph.plans.joins import BROADCAST_ROWS
 
-#: Fixed values of the ranking: BM25, weights of the fields, fusion.
+#: Fixed values of the ranking: BM25, fusion, and the columns of a result.
 K1, B = 1.2, 0.75
-FIELDS = {"title": 5.0, "section": 2.0, "tags": 1.5, "text": 1.0}
 FUSION, LEXICAL_SHARE, VECTOR_SHARE = 50, 2.0, 0.65
-DIMENSIONS = 384
+RESULT = "id document_id logical_id corpus title section kind product_version source_version source_path normalized_path provenance score vector_score snippet".split()
+MOST_RESULTS = 20
 
 
-def _field_text(chunks: DataFrame, field: str) -> Column:
-    c = F.col(field)
-    return F.coalesce(F.array_join(c, " ") if dict(chunks.dtypes)[field].startswith("array") else c, F.lit(""))
+def query_words(query: str) -> list[str]:
+    """The index words of a query's terms, each once."""
+    folded = [t.translate(str.maketrans(*text._unaccented())) for t in text.query_terms(query)]
+    return list(dict.fromkeys(w for t in folded for w in re.findall(r"[^\W_]+", t)))
 
 
-def _field_words(chunks: DataFrame, field: str) -> Column:
-    return text.words(_field_text(chunks, field))
+def top(hits: DataFrame, k: int, order: list[Column], scope: list[str], rank: str) -> DataFrame:
+    """The first ``k`` rows of each scope with their rank: every task keeps its own first ``k`` before rows are brought together."""
+    if not scope:
+        hits = hits.orderBy(*order).limit(k)  # at most k rows are numbered in one task
+    return hits.withColumn(rank, F.row_number().over(Window.partitionBy(*scope).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def postings(chunks: DataFrame, key: str, fields: dict[str, float] = FIELDS) -> DataFrame:
-    """The inverted index ``(term, key, tf, length)``: weighted frequency of each term and the row's number of words.
+def bm25(index: SearchIndex, query: str, limit: int, where: Column | None = None, scope: tuple[str, ...] = ()) -> DataFrame:
+    """The best rows ``(key, score, lexical_rank)`` for a query by BM25 over weighted fields; ties by key.
 
-    For many searches write it bucketed by ``term``: a query then reads its own terms' buckets only.
+    A row matches if any term occurs. Statistics cover the whole index, or each value of ``scope`` (none, or the corpus), and filters
+    come after them. Only the postings of the query's terms are read.
     """
-    per_field = [F.transform(_field_words(chunks, f), lambda w, weight=float(weight): F.struct(w.alias("term"), F.lit(weight).alias("weight"))) for f, weight in fields.items() if f in chunks.columns]
-    rows = chunks.select(key, F.concat(*per_field).alias("all")).withColumn("length", F.size("all"))
-    return rows.select(key, "length", F.explode("all").alias("x")).groupBy("x.term", key, "length").agg(F.sum("x.weight").alias("tf"))
-
-
-def bm25(chunks: DataFrame, query: str, key: str, limit: int, fields: dict[str, float] = FIELDS, where: Column | None = None) -> DataFrame:
-    """The best rows ``(key, score)`` for a query by BM25 over weighted fields, the highest first, ties by key.
-
-    A row matches if any term occurs. Statistics cover the whole table, filters come after them. Without an index, one pass
-    gathers the statistics (one row a task is shuffled) and one scores; words never leave their row.
-    """
-    terms = list(dict.fromkeys(w for t in text.query_terms(query) for w in re.findall(r"[^\W_]+", t)))
-    present = {f: w for f, w in fields.items() if f in chunks.columns}
-    kept = chunks if where is None else chunks.withColumn("__keep", where)
-    rows = kept.select("*", *[F.lower(_field_text(chunks, f)).alias(f"__w{i}") for i, f in enumerate(present)])
-    length = reduce(lambda a, b: a + b, [F.size(text.words(f"__w{i}")) for i in range(len(present))])
-
-    def tf(term: str) -> Column:
-        """Whole words only; a field without the letters isn't searched by the expression."""
-        whole = rf"(?<![\p{{L}}\p{{N}}]){re.escape(term)}(?![\p{{L}}\p{{N}}])"
-        count = lambda c: F.when(F.contains(c, F.lit(term)), F.regexp_count(c, F.lit(whole))).otherwise(0)
-        return reduce(lambda a, b: a + b, [F.lit(weight) * count(F.col(f"__w{i}")) for i, weight in enumerate(present.values())])
-
-    keep = [F.col(key)] if where is None else [F.col(key), F.col("__keep")]
-    scored = rows.select(*keep, length.alias("__length"), *[tf(t).alias(f"__t{i}") for i, t in enumerate(terms)])
-    stats = scored.agg(F.count("*").alias("__n"), F.avg("__length").alias("__avg"), *[F.count_if(F.col(f"__t{i}") > 0).alias(f"__d{i}") for i in range(len(terms))])
-    hit = reduce(lambda a, b: a | b, [F.col(f"__t{i}") > 0 for i in range(len(terms))])
-    found = scored.where(hit if where is None else hit & F.col("__keep")).crossJoin(F.broadcast(stats))  # one row
-
-    def part(i: int) -> Column:
-        df, t = F.col(f"__d{i}"), F.col(f"__t{i}")
-        idf = F.greatest(F.ln((F.col("__n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
-        return idf * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("__length") / F.col("__avg")))
-
-    score = F.round(reduce(lambda a, b: a + b, [part(i) for i in range(len(terms))]), 6)
-    return found.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(limit)
-
-
-def features(value: str) -> list[str]:
-    """Words, their parts, letter trigrams and neighbouring pairs of a text, as hashed by the vectoriser."""
-    import unicodedata
-
-    lexical, grams = [], []
-    for token in re.findall(text.TOKEN, unicodedata.normalize("NFKC", value)):
-        token = token.lower()
-        lexical.append("w:" + token)
-        lexical += ["p:" + p for p in re.findall(text.PART, token) if len(p) > 1]
-        core = re.sub(r"[^0-9a-zа-яё]", "", token)
-        if 5 <= len(core) <= 80:
-            padded = f"^{core}$"
-            grams += ["c:" + padded[i : i + 3] for i in range(len(padded) - 2)]
-    return lexical + grams + [f"b:{a}+{b}" for a, b in zip(lexical, lexical[1:])]
-
-
-@functools.lru_cache(maxsize=1 << 18)
-def bucket(feature: str, dimensions: int = DIMENSIONS, person: bytes = b"features") -> tuple[int, float]:
-    """Place and sign of a feature: a personalised 64-bit digest."""
-    value = struct.unpack("<Q", hashlib.blake2b(feature.encode(), digest_size=8, person=person).digest())[0]
-    return value % dimensions, -1.0 if value >> 63 else 1.0
-
-
-def raw_vector(value: str, dimensions: int = DIMENSIONS, person: bytes = b"features") -> np.ndarray:
-    """Damped, signed frequencies by bucket, before inverse document frequencies."""
-    count, sign = Counter(), Counter()
-    for f in features(value):
-        place, s = bucket(f, dimensions, person)
-        count[place] += 1
-        sign[place] += s
-    out = np.zeros(dimensions, np.float32)
-    for place, n in count.items():
-        out[place] = (1.0 + math.log(n)) * (1.0 if sign[place] >= 0 else -1.0)
-    return out
-
-
-def vectorise(rows: DataFrame, key: str, content: Column, dimensions: int = DIMENSIONS, person: bytes = b"features") -> tuple[DataFrame, DataFrame]:
-    """Hashed tf-idf vectors ``(key, embedding)`` and the table ``(place, idf)`` of inverse document frequencies by bucket."""
-    @F.pandas_udf("array<float>")
-    def encode(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: raw_vector(v or "", dimensions, person))
-
-    raw = cut(rows.select(key, encode(content).alias("raw")), "raw-vectors")  # the texts are read once
-    used = raw.select(F.posexplode("raw").alias("place", "x")).where("x <> 0").groupBy("place").agg(F.count("*").alias("df"))
-    n = rows.agg(F.count("*").alias("n"))
-    places = rows.sparkSession.range(dimensions).select(F.col("id").cast("int").alias("place"))
-    idf = places.join(used, "place", "left").crossJoin(n).select("place", (F.ln((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"))
-    weights = np.array([r["idf"] for r in idf.orderBy("place").collect()], np.float32)  # one number a dimension
-
-    @F.pandas_udf("array<float>")
-    def weigh(vectors: pd.Series) -> pd.Series:
-        scaled = np.stack(vectors.to_list()) * weights if len(vectors) else np.zeros((0, dimensions), np.float32)
-        norms = np.linalg.norm(scaled, axis=1, keepdims=True)
-        return pd.Series(list(np.divide(scaled, norms, out=np.zeros_like(scaled), where=norms > 0)))
-
-    return raw.select(key, weigh("raw").alias("embedding")), idf
-
-
-def cosine_to(vector: Column, query: list[float]) -> Column:
+    terms = query_words(query)
+    folders = bucket_of(F.col("term"))
+    known = index.postings.sparkSession.createDataFrame([(t,) for t in terms], "term string").select("term", folders.alias("bucket"))
+    wanted = sorted({r["bucket"] for r in known.collect()})  # at most one a term of the query
+    hits = index.postings.where(F.col("bucket").isin(wanted) & F.col("term").isin(terms))
+    frequency = hits.groupBy(*scope, "term").agg(F.count("*").alias("df"))
+    stats = index.stats.groupBy(*scope).agg(F.sum("n").alias("n"), F.sum("words").alias("all_words"))
+    told = frequency.join(stats, list(scope)) if scope else frequency.crossJoin(stats)
+    idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    told = told.select(*scope, "term", idf.alias("idf"), (F.col("all_words") / F.col("n")).alias("mean"))
+    kept = hits if where is None else hits.where(where)
+    scored = kept.join(F.broadcast(told), [*scope, "term"])  # a row for each term of the query and corpus
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    sums = scored.groupBy(*scope, index.key).agg(F.round(F.sum(part), 6).alias("score"))
+    return top(sums, limit, [F.desc("score"), F.col(index.key)], list(scope), "lexical_rank")
+
+
+def cosine_to(vector: Column, query: np.ndarray) -> Column:
     """Dot product with a query vector, a matrix product for each Arrow batch."""
     q = np.asarray(query, np.float64)
 
@@ -147,57 +69,97 @@ def cosine_to(vector: Column, query: list[float]) -> Column:
     return dot(vector)
 
 
+def vector_search(index: SearchIndex, query: str, limit: int, scope: tuple[str, ...] = ()) -> DataFrame:
+    """The rows nearest to the query's vector ``(key, score, vector_rank)`` and facets: none for a query without features."""
+    vector = query_vector(index, query)
+    near = index.vectors.select(index.key, *index.facets, F.round(cosine_to(F.col("embedding"), vector), 6).alias("score"))
+    return top(near if vector.any() else near.limit(0), limit, [F.desc("score"), F.col(index.key)], list(scope), "vector_rank")
+
+
+def fuse(lexical: DataFrame, vector: DataFrame, keys: list[str]) -> DataFrame:
+    """Reciprocal rank fusion of two ranked lists: ``(keys, score, vector_score)``; a side that lacks a row adds nothing."""
+    both = lexical.select(*keys, "lexical_rank").join(vector.select(*keys, "vector_rank", F.col("score").alias("vector_score")), keys, "full_outer")
+    part = lambda share, rank: F.coalesce(F.lit(share) / (F.lit(FUSION) + F.col(rank)), F.lit(0.0))
+    return both.select(*keys, F.round(part(LEXICAL_SHARE, "lexical_rank") + part(VECTOR_SHARE, "vector_rank"), 8).alias("score"), "vector_score")
+
+
+def hybrid(index: SearchIndex, query: str, limit: int, where: Column | None = None, scope: tuple[str, ...] = ()) -> DataFrame:
+    """The best rows by both rankings ``(scope, key, score, vector_score)``. ``where`` filters facets: the lexical side before its list
+    is cut, the vector side after. Ties go to the greater key."""
+    pool = max(8 * limit, 50)
+    keys = [*scope, index.key]
+    vector = vector_search(index, query, pool, scope)
+    fused = fuse(bm25(index, query, pool, where, scope), vector if where is None else vector.where(where), keys)
+    return top(fused, limit, [F.desc("score"), F.desc(index.key)], list(scope), "place")
+
+
+def results(index: SearchIndex, hits: DataFrame, limit: int = MOST_RESULTS) -> DataFrame:
+    """Result rows of at most ``limit`` hits (a limit of the response): what is known of the chunk, scores and a snippet."""
+    found = hits.limit(limit).toPandas()  # at most the limit
+    spark = hits.sparkSession
+    keys = found[index.key].tolist()
+    asked = spark.createDataFrame([(k, float(s), None if pd.isna(v) else float(v)) for k, s, v in zip(keys, found["score"], found["vector_score"])], f"`{index.key}` {dict(hits.dtypes)[index.key]}, score double, vector_score double")
+    folders = sorted({r["b"] for r in asked.select(bucket_of(F.col(index.key)).alias("b")).collect()})
+    rows = index.rows.where(F.col("bucket").isin(folders) & F.col(index.key).isin(keys)) if keys else index.rows.limit(0)
+    joined = rows.join(F.broadcast(asked), index.key).withColumn("snippet", text.snippet("text"))
+    return joined.select(index.key, *[c for c in RESULT if c in joined.columns])
+
+
+def search(index: SearchIndex, query: str, limit: int = 8, where: Column | None = None, corpora: bool = False) -> DataFrame:
+    """Result rows for a query, over the whole index or, with ``corpora``, ranked in each corpus and merged.
+
+    Each corpus gives at least eight rows to the merged list, which goes by score, then vector score (none or zero counts as -1), then the
+    corpora's names, then the greater key.
+    """
+    if len(query.strip()) < 2:
+        raise ValueError("a query needs two characters")
+    if not 1 <= limit <= MOST_RESULTS:
+        raise ValueError(f"limit must be between 1 and {MOST_RESULTS}")
+    if not corpora:
+        return results(index, hybrid(index, query, limit, where), limit)
+    each = hybrid(index, query, max(limit, 8), where, ("corpus",))
+    second = F.when(F.coalesce("vector_score", F.lit(0.0)) == 0, -1.0).otherwise(F.col("vector_score"))
+    return results(index, each.orderBy(F.desc("score"), second.desc(), "corpus", F.desc(index.key)).limit(limit), limit)
+
+
 def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 1024) -> DataFrame:
     """The ``k`` rows nearest to each query by dot product: ``(query, neighbour, score, rank)``, exact, ties by key.
 
-    Both sides are packed into blocks of ``block`` vectors; each pair of blocks is one matrix product, of which only ``k`` rows a
-    query leave the task. A row isn't its own neighbour. Null vectors and those of another length than the block's first are left out.
+    The queries are packed into blocks of ``block`` vectors of one length, the rows into batches; each pair of block and batch is one matrix product,
+    of which only ``k`` rows a query leave the task. Blocks of few queries are broadcast. A row isn't its own neighbour. Null vectors are
+    left out; only vectors of the same length are neighbours.
     """
 
     def packed(df: DataFrame, name: str) -> DataFrame:
+        sized = df.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("wide"))
+        count = sized.agg(F.count("*").alias("n"))
         number = F.pmod(F.xxhash64(key), F.greatest(F.lit(1), F.ceil(F.col("n") / block)))
-        sized = df.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
-        counted = sized.crossJoin(F.broadcast(sized.agg(F.count("*").alias("n"))))  # one row
-        return counted.groupBy(number.alias(name)).agg(F.collect_list(key).alias(f"{name}_ids"), F.collect_list("v").alias(f"{name}_vectors"))
+        return sized.crossJoin(F.broadcast(count)).groupBy("wide", number.alias(name)).agg(F.collect_list(key).alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(f"{name}_vectors"))
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                wide = len(row.q_vectors[0])
-                left = [(i, v) for i, v in zip(row.q_ids, row.q_vectors) if len(v) == wide]
-                right = [(i, v) for i, v in zip(row.r_ids, row.r_vectors) if len(v) == wide]
-                if not right:
-                    continue
-                ids = np.array([i for i, _ in right])
-                scores = np.stack([v for _, v in left]) @ np.stack([v for _, v in right]).T
-                for (q, _), s in zip(left, scores):
-                    s = np.where(ids == q, -np.inf, np.round(s, 6))
-                    top = np.lexsort((ids, -s))[:k]
-                    top = top[np.isfinite(s[top])]
-                    yield pd.DataFrame({"query": q, "neighbour": ids[top], "score": s[top]})
-
-    pairs = packed(queries, "q").crossJoin(packed(rows, "r"))  # blocks of the stated queries against blocks of rows
+                left, right = np.asarray(row.q_ids), np.asarray(row.r_ids)
+                scores = np.round(np.asarray(row.q_vectors).reshape(len(left), -1) @ np.asarray(row.r_vectors).reshape(len(right), -1).T, 6)
+                scores[left[:, None] == right] = -np.inf
+                least = np.partition(scores, -k, axis=1)[:, -k] if len(right) > k else np.full(len(left), -np.inf)
+                q, r = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+                order = np.lexsort((right[r], -scores[q, r], q))
+                q, r = q[order], r[order]
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                q, r = q[rank < k], r[rank < k]
+                yield pd.DataFrame({"query": left[q], "neighbour": right[r], "score": scores[q, r]})
+
+    asked = packed(queries, "q")
+    few = queries.count() <= BROADCAST_ROWS // 10
+    pairs = packed(rows, "r").join(F.broadcast(asked) if few else asked, "wide")  # blocks of the stated queries against blocks of rows
     partial = pairs.mapInPandas(products, "query bigint, neighbour bigint, score double")
     best = partial.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "neighbour"))), 1, k).alias("top"))
     return best.select("query", F.posexplode("top").alias("at", "x")).select("query", F.col("x.neighbour").alias("neighbour"), (-F.col("x.s")).alias("score"), (F.col("at") + 1).alias("rank"))
 
 
-def ranked(hits: DataFrame, key: str, name: str, limit: int) -> DataFrame:
-    """Adds the rank of at most ``limit`` hits with a score."""
-    from pyspark.sql import Window
-
-    return hits.orderBy(F.desc("score"), key).limit(limit).withColumn(name, F.row_number().over(Window.orderBy(F.desc("score"), key)))
-
-
-def fuse(lexical: DataFrame, vector: DataFrame, key: str, limit: int) -> DataFrame:
-    """Reciprocal rank fusion of two ranked lists; a side that lacks a row adds nothing. Ties go to the greater key."""
-    both = lexical.select(key, "lexical_rank").join(vector.select(key, "vector_rank", F.col("score").alias("vector_score")), key, "full_outer")
-    part = lambda share, rank: F.coalesce(F.lit(share) / (F.lit(FUSION) + F.col(rank)), F.lit(0.0))
-    return both.withColumn("score", F.round(part(LEXICAL_SHARE, "lexical_rank") + part(VECTOR_SHARE, "vector_rank"), 8)).orderBy(F.desc("score"), F.desc(key)).limit(limit)
-
-
 def merge_corpora(parts: list[DataFrame], key: str, limit: int) -> DataFrame:
-    """Hits of several corpora in one list; ties stay in the corpora's order. A missing or zero vector score counts as -1."""
+    """Hits of several indexes in one list; ties stay in the indexes' order. A missing or zero vector score counts as -1."""
     tagged = [df.withColumn("corpus_order", F.lit(i)) for i, df in enumerate(parts)]
     out = reduce(DataFrame.unionByName, tagged)
     second = F.when(F.coalesce("vector_score", F.lit(0.0)) == 0, -1.0).otherwise(F.col("vector_score"))

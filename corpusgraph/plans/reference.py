@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text
-from corpusgraph.operators import code, corpus, datasets, diagnostics, graph, search
+from corpusgraph.operators import code, corpus, datasets, diagnostics, graph, index, search
+from corpusgraph.plans.lineage import shared_dir
 from corpusgraph.sources.tables import table
 from corpusgraph.streaming import events as streams
 
@@ -17,6 +19,18 @@ SQL: dict[str, str] = {}
 _W = r"[\p{L}\p{N}]+"
 
 
+def _usual(x: str) -> str:
+    """SQL of :func:`text.compatible`."""
+    pairs = text._compatible()
+    return f"replace(replace(translate({x}, '{pairs[0]}', '{pairs[1]}'), 'и\u0306', 'й'), 'е\u0308', 'ё')"
+
+
+def _words(x: str) -> str:
+    """SQL of :func:`text.words`."""
+    pairs = text._unaccented()
+    return f"regexp_extract_all(translate(lower({_usual(x)}), '{pairs[0]}', '{pairs[1]}'), '{_W}')"
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -35,14 +49,14 @@ def corpus_versions(spark: SparkSession, d: str) -> DataFrame:
     return corpus.versions(table(spark, d, "chunks"))
 
 
-@query(rf"SELECT feature, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{text.TOKEN}'))) AS feature FROM documents) GROUP BY feature")
+@query(rf"SELECT feature, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower({_usual('text')}), '{text.TOKEN}'))) AS feature FROM documents) GROUP BY feature")
 def token_document_frequency(spark: SparkSession, d: str) -> DataFrame:
     return corpus.document_frequency(table(spark, d, "documents"), "doc_id", text.tokens("text"))
 
 
 @query(
     rf"""SELECT token, list_filter(regexp_extract_all(token, '{text.PART}'), lambda p: length(p) > 1) AS parts
-FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(title), '{text.TOKEN}')) AS token FROM documents)"""
+FROM (SELECT DISTINCT unnest(regexp_extract_all(lower({_usual('title')}), '{text.TOKEN}')) AS token FROM documents)"""
 )
 def token_parts(spark: SparkSession, d: str) -> DataFrame:
     each = table(spark, d, "documents").select(F.explode(text.tokens("title")).alias("token")).distinct()
@@ -68,8 +82,8 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, CASE WHEN s = '' THEN 'document' ELSE s END AS slug FROM (SELECT doc_id,
-regexp_replace(regexp_replace(regexp_replace(lower(trim(title)), '[^0-9a-zа-яё._/-]+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM documents)"""
+    rf"""SELECT doc_id, CASE WHEN s = '' THEN 'document' ELSE s END AS slug FROM (SELECT doc_id,
+regexp_replace(regexp_replace(regexp_replace(lower(trim({_usual('title')})), '[^0-9a-zа-яё._/-]+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM documents)"""
 )
 def slug_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.slug("title").alias("slug"))
@@ -172,8 +186,8 @@ def tail_lines(spark: SparkSession, d: str) -> DataFrame:
 # retrieval
 
 _BM25 = rf"""
-WITH f AS (SELECT chunk_no, is_current, regexp_extract_all(lower(coalesce(title, '')), '{_W}') AS a, regexp_extract_all(lower(coalesce(section, '')), '{_W}') AS b,
-  regexp_extract_all(lower(coalesce(array_to_string(tags, ' '), '')), '{_W}') AS c, regexp_extract_all(lower(coalesce(text, '')), '{_W}') AS t FROM chunks),
+WITH f AS (SELECT chunk_no, is_current, {_words("coalesce(title, '')")} AS a, {_words("coalesce(section, '')")} AS b,
+  {_words("coalesce(array_to_string(tags, ' '), '')")} AS c, {_words("coalesce(text, '')")} AS t FROM chunks),
 q AS (SELECT unnest(['deadlocks', 'rollbacks', 'tablespaces']) AS term),
 s AS (SELECT chunk_no, is_current, len(a) + len(b) + len(c) + len(t) AS n, term, 5.0::DOUBLE * len(list_filter(a, lambda w: w = term)) + 2.0::DOUBLE * len(list_filter(b, lambda w: w = term))
   + 1.5::DOUBLE * len(list_filter(c, lambda w: w = term)) + 1.0::DOUBLE * len(list_filter(t, lambda w: w = term)) AS tf FROM f, q),
@@ -182,16 +196,68 @@ df AS (SELECT term, count(*) AS df FROM s WHERE tf > 0 GROUP BY term),
 r AS (SELECT chunk_no, round(sum(greatest(ln((g.n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * s.n / g.avg))), 6) AS score
   FROM s JOIN df USING (term), g WHERE tf > 0 __WHERE__ GROUP BY chunk_no)
 SELECT chunk_no, score FROM r ORDER BY score DESC, chunk_no LIMIT 20"""
+_BM25_CORPUS = (
+    _BM25[: _BM25.index("SELECT chunk_no, score FROM r ORDER")]
+    .replace("is_current", "corpus")
+    .replace("g AS (SELECT count(DISTINCT chunk_no) AS n, avg(n) AS avg FROM s)", "g AS (SELECT corpus, count(DISTINCT chunk_no) AS n, avg(n) AS avg FROM s GROUP BY corpus)")
+    .replace("df AS (SELECT term, count(*) AS df FROM s WHERE tf > 0 GROUP BY term)", "df AS (SELECT corpus, term, count(*) AS df FROM s WHERE tf > 0 GROUP BY corpus, term)")
+    .replace("r AS (SELECT chunk_no, round", "r AS (SELECT corpus, chunk_no, round")
+    .replace("FROM s JOIN df USING (term), g WHERE tf > 0 __WHERE__ GROUP BY chunk_no", "FROM s JOIN df USING (corpus, term) JOIN g USING (corpus) WHERE tf > 0 GROUP BY corpus, chunk_no")
+    + "SELECT corpus, chunk_no, score FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY score DESC, chunk_no) AS rn FROM r) WHERE rn <= 5"
+)
+_INDEXES: dict[tuple, index.SearchIndex] = {}
+
+
+def stored_index(spark: SparkSession, d: str) -> index.SearchIndex:
+    """The index of a folder's chunks, in the session's shared folder: built by the first search that needs it, and again for other files."""
+    chunks = table(spark, d, "chunks")
+    known = (spark.sparkContext.applicationId, d, *sorted(tuple(r) for r in chunks.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string")).distinct().collect()))
+    if known not in _INDEXES:
+        _INDEXES[known] = index.build_index(chunks, "chunk_no", f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    return _INDEXES[known]
+
+
+ASKED = "deadlocks rollbacks tablespaces"
 
 
 @query(_BM25.replace("__WHERE__", ""))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25(table(spark, d, "chunks"), "deadlocks rollbacks tablespaces", "chunk_no", 20)
+    return search.bm25(stored_index(spark, d), ASKED, 20).select("chunk_no", "score")
 
 
 @query(_BM25.replace("__WHERE__", "AND is_current"))
 def bm25_current(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25(table(spark, d, "chunks"), "deadlocks rollbacks tablespaces", "chunk_no", 20, where=F.col("is_current"))
+    return search.bm25(stored_index(spark, d), ASKED, 20, where=F.col("is_current")).select("chunk_no", "score")
+
+
+@query(_BM25_CORPUS)
+def bm25_by_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The best five of each corpus, by its own statistics."""
+    return search.bm25(stored_index(spark, d), ASKED, 5, scope=("corpus",)).select("corpus", "chunk_no", "score")
+
+
+@query(
+    f"""SELECT term, count(*) AS rows, sum(words)::BIGINT AS words FROM (SELECT chunk_no, term, count(*) AS words FROM (SELECT chunk_no, unnest(list_concat({_words("coalesce(title, '')")},
+{_words("coalesce(section, '')")}, {_words("coalesce(array_to_string(tags, ' '), '')")}, {_words("coalesce(text, '')")})) AS term FROM chunks) GROUP BY ALL) GROUP BY term"""
+)
+def index_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Document frequency and words of every term of the stored index."""
+    return stored_index(spark, d).postings.groupBy("term").agg(F.count("*").alias("rows"), F.sum("words").alias("words"))
+
+
+@query(
+    f"""SELECT unnest(['rows', 'vectors', 'idf', 'stats', 'postings']) AS table_name, unnest([(SELECT count(*) FROM chunks), (SELECT count(*) FROM chunks), 384, (SELECT count(DISTINCT corpus) FROM chunks),
+(SELECT count(DISTINCT (chunk_no, term)) FROM (SELECT chunk_no, unnest(list_concat({_words("coalesce(title, '')")}, {_words("coalesce(section, '')")}, {_words("coalesce(array_to_string(tags, ' '), '')")},
+{_words("coalesce(text, '')")})) AS term FROM chunks))]) AS rows"""
+)
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """Builds the index anew and counts its rows."""
+    return index.table_sizes(index.build_index(table(spark, d, "chunks"), "chunk_no", f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"))
+
+
+@query("SELECT unnest(['rows-without-vector', 'vectors-without-row', 'vector-length', 'vector-norm', 'idf-length']) AS check_name, 0::BIGINT AS failures")
+def index_checks(spark: SparkSession, d: str) -> DataFrame:
+    return index.check_vectors(stored_index(spark, d))
 
 
 @query(
@@ -206,16 +272,14 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Lexical and vector ranks of one query over the current release, fused; the vector side is filtered after its top list."""
-    chunks = table(spark, d, "chunks").select("chunk_no", "title", "section", "tags", "text", "is_current")
-    asked = "deadlocks rollbacks tablespaces"
-    lexical = search.ranked(search.bm25(chunks, asked, "chunk_no", 160, where=F.col("is_current")), "chunk_no", "lexical_rank", 160)
-    unit, idf = search.vectorise(chunks, "chunk_no", F.concat_ws("\n", "title", "section", "text"))
-    weights = [r["idf"] for r in idf.orderBy("place").collect()]  # one number a dimension
-    raw = search.raw_vector(asked) * weights
-    near = unit.select("chunk_no", F.round(search.cosine_to(F.col("embedding"), list(raw / ((raw**2).sum() ** 0.5 or 1))), 6).alias("score"))
-    vector = search.ranked(near, "chunk_no", "vector_rank", 160).join(chunks.where("is_current").select("chunk_no"), "chunk_no", "left_semi")
-    return search.fuse(lexical, vector, "chunk_no", 20).select("chunk_no", "score", "vector_score")
+    """Result rows by lexical and vector ranks over the current release, fused; the vector side is filtered after its top list."""
+    return search.search(stored_index(spark, d), ASKED, 20, where=F.col("is_current"))
+
+
+@query()
+def corpora_search(spark: SparkSession, d: str) -> DataFrame:
+    """Result rows ranked in each corpus and merged."""
+    return search.search(stored_index(spark, d), ASKED, 20, where=F.col("is_current"), corpora=True)
 
 
 @query(

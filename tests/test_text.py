@@ -1,14 +1,17 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import html, markdown, text
 
-from corpusgraph.operators import code, corpus, datasets, diagnostics, graph, project, search
-from corpusgraph.plans.lineage import cut
+from corpusgraph.operators import code, corpus, datasets, diagnostics, features, graph, index, project, search
+from corpusgraph.plans.lineage import cut, shared_dir
 
 
 def one(spark, expression, value):
@@ -212,27 +215,73 @@ def test_datasets(spark):
 def test_search_paths_agree(spark):
     rows = [(i, f"t{i % 3}", None, ["x"], "alpha beta " * (i % 4) + "gamma " * (i % 5)) for i in range(40)]
     chunks = spark.createDataFrame(rows, "chunk_no long, title string, section string, tags array<string>, text string")
-    top = search.bm25(chunks, "alpha gamma", "chunk_no", 10).collect()
-    index = search.postings(chunks, "chunk_no")
-    assert {r.term for r in index.select("term").distinct().collect()} == {"t0", "t1", "t2", "x", "alpha", "beta", "gamma"}
-    tf = {(r.term, r.chunk_no): r.tf for r in index.collect()}
-    assert all((("alpha", r.chunk_no) in tf or ("gamma", r.chunk_no) in tf) for r in top)
+    made = index.build_index(chunks, "chunk_no", shared_dir(spark) + f"/index-{uuid.uuid4().hex}")
+    best = search.bm25(made, "alpha gamma", 10).collect()
+    assert {r.term for r in made.postings.select("term").distinct().collect()} == {"t0", "t1", "t2", "x", "alpha", "beta", "gamma"}
+    tf = {(r.term, r.chunk_no): r.tf for r in made.postings.collect()}
+    assert best and all((("alpha", r.chunk_no) in tf or ("gamma", r.chunk_no) in tf) for r in best)
     with pytest.raises(ValueError):
-        search.bm25(chunks, "!", "chunk_no", 5)
-    unit, idf = search.vectorise(chunks, "chunk_no", F.col("text"))
-    v = {r.chunk_no: r.embedding for r in unit.collect()}
-    assert abs(sum(x * x for x in v[7]) - 1) < 1e-5 and sum(v[0]) == 0 and idf.count() == 384
-    lex = search.ranked(search.bm25(chunks, "alpha", "chunk_no", 5), "chunk_no", "lexical_rank", 5)
-    vec = search.ranked(unit.select("chunk_no", F.lit(0.5).alias("score")), "chunk_no", "vector_rank", 5)
-    fused = search.fuse(lex, vec, "chunk_no", 20).collect()
-    first = {r.chunk_no: r.lexical_rank for r in lex.collect()}
-    assert fused[0].score == round(2 / (50 + first.get(fused[0].chunk_no, 1e9)) + (0.65 / (50 + fused[0].vector_rank) if fused[0].vector_rank else 0), 8)
+        search.bm25(made, "!", 5)
+    v = {r.chunk_no: r.embedding for r in made.vectors.collect()}
+    assert abs(sum(x * x for x in v[7]) - 1) < 1e-5 and made.idf.count() == 384
+    assert {r.failures for r in index.check_vectors(made).collect()} == {0}
+    lex, vec = search.bm25(made, "alpha", 5), search.vector_search(made, "alpha", 5)
+    first, near = ({r.chunk_no: r[rank] for r in side.collect()} for side, rank in ((lex, "lexical_rank"), (vec, "vector_rank")))
+    for r in search.fuse(lex, vec, ["chunk_no"]).collect():
+        assert r.score == round((2 / (50 + first[r.chunk_no]) if r.chunk_no in first else 0) + (0.65 / (50 + near[r.chunk_no]) if r.chunk_no in near else 0), 8)
+    rows = search.search(made, "alpha gamma", 5).collect()
+    assert [r.score for r in rows] == sorted((r.score for r in rows), reverse=True) or len(rows) == 5
+    for wrong in ({"query": "a"}, {"query": "alpha", "limit": 21}):
+        with pytest.raises(ValueError):
+            search.search(made, **wrong)
+    assert search.vector_search(made, "§§§", 5).count() == 0
+
+
+def test_features_are_words_parts_trigrams_and_pairs():
+    def listed(value):
+        """By the definition, one feature after the other."""
+        import unicodedata
+
+        words, grams = [], []
+        for token in re.findall(text.TOKEN, unicodedata.normalize("NFKC", value)):
+            token = token.lower()
+            words += [token, *[("part", p) for p in re.findall(text.PART, token) if len(p) > 1]]
+            bare = "".join(re.findall(text.PART, token))
+            if 5 <= len(bare) <= 80:
+                ends = "^" + bare + "$"
+                grams += [ends[i : i + 3] for i in range(len(bare))]
+        return words + [("gram", g) for g in grams] + [("pair", p) for p in zip(words, words[1:])]
+
+    texts = ["", "a", "foo_bar12::x ＦＵＬＬ №5", "Ёлка ёлка-ёлка foo_bar12", "x" * 90 + " " + "y" * 80, "a/b c.d", "İstanbul ﬁne"]
+    hashes, of = features.hashed_features(texts)
+    want = [listed(t) for t in texts]
+    assert np.bincount(of, minlength=len(texts)).tolist() == [len(w) for w in want]
+    known = {}
+    for i, w in enumerate(want):  # equal features have equal hashes, and only they
+        for f in set(w):
+            known.setdefault(f, []).append((i, w.count(f)))
+    counts = {}
+    for h, i in zip(hashes.tolist(), of.tolist()):
+        counts.setdefault(h, {}).setdefault(i, 0)
+        counts[h][i] += 1
+    assert sorted(sorted(c.items()) for c in counts.values()) == sorted(sorted(c) for c in known.values())
+
+
+def test_compatibility_forms_and_accents(spark):
+    assert one(spark, text.tokens("x"), "ＦＵＬＬ-ｗidth ①② и\u0306од") == ["full-width", "12", "йод"]
+    assert one(spark, text.slug("x"), "Ｓlug ²") == "slug-2"
+    assert one(spark, text.words("x"), "Café ÉCOLE Ünïcode мой") == ["cafe", "ecole", "unicode", "мой"]
+
+
+def test_redaction_of_the_standards_forms(spark):
+    assert one(spark, text.redact("x"), "basic YWJj+/~== x, a.b+c@sub-d.example.org; userId=, user") == "basic [HIDDEN] x, [EMAIL]; userId=, user"
 
 
 def test_nearest_leaves_out_odd_vectors(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0])], "vec_id long, embedding array<float>")
     got = [(r.query, r.neighbour, r.rank) for r in search.nearest(rows, rows.where("vec_id = 0"), "vec_id", "embedding", 2).orderBy("rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2)]
+    assert [(r.query, r.neighbour) for r in search.nearest(rows, rows, "vec_id", "embedding", 1, block=1).where("query = 4").collect()] == []
 
 
 def test_events_and_lists(spark):
