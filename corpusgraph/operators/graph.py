@@ -6,7 +6,9 @@ plans don't grow, the visited set kept by anti-joins. No adjacency list is ever
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text
@@ -17,6 +19,9 @@ DEPENDENCY = ["imports_subsystem", "imports_element", "uses_subsystem", "yaml_id
 LEXICAL = ["lexical_reference"]
 STRUCTURAL = ["metadata_file", "companion_file", "belongs_to_subsystem", "environment", "visibility", "declares"]
 MAX_DEPTH = 5
+EXAMPLES = 20
+#: Edges that one task may finish: some megabytes.
+FEW_EDGES = 100_000
 
 
 def document_links(documents: DataFrame) -> DataFrame:
@@ -92,69 +97,94 @@ def without_inbound(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(edges.select(F.col("target").alias("node")), "node", "left_anti")
 
 
-def cycle_members(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """Nodes on cycles: ``(node, component)``, the component being the least node of the strongly connected component.
+def cycle_members(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """Nodes on cycles of more than one node: ``(node, component, members)``, the component being the least node of the strongly connected
+    component. Null ends and self-links don't count; edges may repeat.
 
-    Nodes without way in or out are trimmed until none is left. In each round every node learns the least node that
-    reaches it and that it reaches, by doubling label propagation over the edges that stay; nodes where both agree with the
-    node itself name a component, which is taken out. All of it is joins and aggregations.
+    Nodes are ordered by a hash. Every node learns the first node that reaches it and the first one that it reaches, by doubling;
+    where both agree, it lies on a cycle with that node or is that node. Edges between nodes whose pairs differ can't lie on a
+    cycle and go; what is left is taken again. The rounds are logarithmic in the number of nodes, whatever the length of paths and cycles,
+    and end when no edge is left. Once a count proves that at most ``few`` edges are left, one task finishes them.
     """
-    live = cut(edges.select("source", "target").dropna().where("source <> target").distinct(), "live")
+    ranked = lambda c: F.struct(F.xxhash64(c).alias("rank"), F.col(c).alias("name"))
+    live = cut(edges.select("source", "target").dropna().where("source <> target").select(ranked("source").alias("source"), ranked("target").alias("target")).distinct(), "live")
     done: DataFrame | None = None
-    for _ in range(most_rounds):
-        live = _trim(live)
-        if live.isEmpty():
+    while True:
+        live = cut(_peeled(_peeled(live)), "live")
+        left = live.count()
+        if left <= few:
+            if left:
+                last = live.select(F.col("source.name").alias("source"), F.col("target.name").alias("target"), F.lit(0).alias("all")).groupBy("all").applyInPandas(_components, "node string, root string")
+                found = last.select(*[ranked(c).alias(c) for c in ("node", "root")])
+                done = found if done is None else done.unionByName(found)
             break
-        labels = _propagate(live, "source", "target", "low")
-        inside = live.join(labels.withColumnRenamed("node", "source").withColumnRenamed("low", "a"), "source").join(labels.withColumnRenamed("node", "target").withColumnRenamed("low", "b"), "target")
-        same = inside.where("a = b").select("source", "target", "a")
-        back = _reaches_root(same)
-        found = cut(back.select("node", F.col("root").alias("component")), "component")
+        reached_by, reaches = _first_reaching(live, "source", "target"), _first_reaching(live, "target", "source")
+        labels = cut(reached_by.select("node", F.col("first").alias("from")).join(reaches.select("node", F.col("first").alias("to")), "node"), "labels")
+        found = labels.where(F.col("from") == F.col("to")).select("node", F.col("from").alias("root"))
         done = found if done is None else done.unionByName(found)
-        gone = found.select("node")
-        live = cut(
-            live.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"), "live"
-        )
+        open_ = labels.where(F.col("from") != F.col("to")).select("node", F.struct("from", "to").alias("pair"))
+        ends = live.join(open_.select(F.col("node").alias("source"), F.col("pair").alias("a")), "source").join(open_.select(F.col("node").alias("target"), F.col("pair").alias("b")), "target")
+        live = ends.where(F.col("a") == F.col("b")).select("source", "target")
     if done is None:
-        done = edges.select(F.col("source").alias("node"), F.col("source").alias("component")).limit(0)
-    sizes = done.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
-    return done.join(sizes, "component").select("node", "component", "members")
-
-
-def _trim(live: DataFrame) -> DataFrame:
-    before = live.count()
-    while before:
-        live = cut(live.join(live.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(live.select(F.col("source").alias("target")).distinct(), "target", "left_semi"), "trim")
-        now = live.count()
-        if now == before:
-            break
-        before = now
-    return live.select("source", "target")
-
-
-def _propagate(live: DataFrame, source: str, target: str, name: str) -> DataFrame:
-    """The least node that reaches each node."""
-    labels = cut(live.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn(name, F.col("node")), "labels")
-    while True:
-        sent = live.join(labels.withColumnRenamed("node", source), source).select(F.col(target).alias("node"), name)
-        jump = labels.select("node", F.col(name).alias("via")).join(labels.select(F.col("node").alias("via"), F.col(name).alias(name)), "via").select("node", name)
-        new = cut(labels.unionByName(sent).unionByName(jump).groupBy("node").agg(F.min(name).alias(name)), "labels")
-        if new.join(labels.withColumnRenamed(name, "old"), "node").where(f"{name} <> old").isEmpty():
-            return new
-        labels = new
-
-
-def _reaches_root(same: DataFrame) -> DataFrame:
-    """Nodes that reach the root whose label they carry, within the nodes of that label."""
-    same = cut(same, "same")
-    reached = cut(same.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct(), "reached")
-    frontier = reached
+        return edges.select(F.col("source").alias("node"), F.col("source").alias("component"), F.lit(1).cast("bigint").alias("members")).limit(0)
+    sizes = done.groupBy("root").agg(F.min("node.name").alias("component"), F.count("*").alias("members")).where("members > 1")
+    return done.join(sizes, "root").select(F.col("node.name").alias("node"), "component", "members")
+
+
+def _components(live: pd.DataFrame) -> pd.DataFrame:
+    """``(node, root)`` of a bounded set of edges: nodes in the order in which a search leaves them, then searches against the edges in reverse order."""
+    ends, names = pd.factorize(pd.concat([live["source"], live["target"]]), sort=True)
+    a, b = ends[: len(live)], ends[len(live) :]
+
+    def neighbours(of: np.ndarray, to: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(of, kind="stable")
+        return np.split(to[order], np.searchsorted(of[order], np.arange(1, len(names))))
+
+    def searched(starts, steps: list[np.ndarray]):
+        seen = np.zeros(len(names), bool)
+        for start in starts:
+            if seen[start]:
+                continue
+            seen[start] = True
+            stack, left = [(start, iter(steps[start]))], []
+            while stack:
+                node, rest = stack[-1]
+                step = next((n for n in rest if not seen[n]), None)
+                if step is None:
+                    left.append(stack.pop()[0])
+                else:
+                    seen[step] = True
+                    stack.append((step, iter(steps[step])))
+            yield left
+
+    leaving = [n for left in searched(range(len(names)), neighbours(a, b)) for n in left]
+    rows = [(names[n], names[min(part)]) for part in searched(reversed(leaving), neighbours(b, a)) for n in part]
+    return pd.DataFrame(rows, columns=["node", "root"])
+
+
+def _peeled(live: DataFrame) -> DataFrame:
+    """The edges whose source has a way in and whose target has a way out: a cheap step that cycles don't need to be found."""
+    into, out = live.select(F.col("target").alias("source")).distinct(), live.select(F.col("source").alias("target")).distinct()
+    return live.join(into, "source", "left_semi").join(out, "target", "left_semi").select("source", "target")
+
+
+def _first_reaching(live: DataFrame, source: str, target: str) -> DataFrame:
+    """``(node, first)``: the first node that reaches each one along the edges, or itself.
+
+    A round takes over what the neighbours know, and follows what is known three times: the stretch that a node sees grows by a factor.
+    """
+    first = cut(live.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("first", F.col("node")), "labels")
     while True:
-        step = same.join(frontier.select(F.col("node").alias("target"), F.col("root").alias("a")), ["target", "a"]).select(F.col("source").alias("node"), F.col("a").alias("root")).distinct()
-        frontier = cut(step.join(reached, ["node", "root"], "left_anti"), "reached")
-        if frontier.isEmpty():
-            return reached
-        reached = reached.unionByName(frontier)
+        known = first.select(F.col("node").alias("at"), F.col("first").alias("next"))
+        sent = live.join(known, live[source] == F.col("at")).select(F.col(target).alias("node"), F.col("next").alias("first"))
+        twice = first.join(known, F.col("first") == F.col("at")).select("node", F.col("next").alias("first"))
+        further = twice.select(F.col("node").alias("at"), F.col("first").alias("next"))
+        four = twice.join(further, F.col("first") == F.col("at")).select("node", F.col("next").alias("first"))
+        told = first.withColumn("was", F.col("first")).unionByName(sent.unionByName(four).withColumn("was", F.lit(None).cast(first.schema["first"].dataType)))
+        now = cut(told.groupBy("node").agg(F.min("first").alias("first"), F.max("was").alias("was")), "labels")
+        if now.where(F.col("first") != F.col("was")).isEmpty():
+            return now.select("node", "first")
+        first = now.select("node", "first")
 
 
 def unique_match(asked: DataFrame, named: DataFrame, name: str, scope: list[str], target: str) -> DataFrame:
@@ -171,8 +201,11 @@ def ambiguous_names(named: DataFrame, name: str, scope: list[str], target: str)
     """Names of several targets within their scope, with at most 20 of them as examples."""
     fold = F.lower(name).alias("name")
     each = named.where(F.col(name).isNotNull()).select(*scope, fold, target).distinct()
-    counts = each.groupBy(*scope, "name").agg(F.count("*").alias("targets"), F.min(target).alias("first_target"))
-    return counts.where("targets > 1")
+    place = F.row_number().over(Window.partitionBy(*scope, "name").orderBy(target))
+    few = each.withColumn("place", place).where(F.col("place") <= EXAMPLES)  # every task keeps its own first ones only
+    examples = few.groupBy(*scope, "name").agg(F.sort_array(F.collect_list(target)).alias("examples"))
+    counts = each.groupBy(*scope, "name").agg(F.count("*").alias("targets")).where("targets > 1")
+    return counts.join(examples, [*scope, "name"]).select(*scope, "name", "targets", F.col("examples")[0].alias("first_target"), "examples")
 
 
 def nearest_ancestor(paths: DataFrame, path: str, folders: DataFrame, folder: str) -> DataFrame:

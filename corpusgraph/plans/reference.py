@@ -414,7 +414,7 @@ def anchor_resolution(spark: SparkSession, d: str) -> DataFrame:
     return graph.unique_match(asked, named, "anchor", ["product_version"], "logical_id").select("link_no", "matches", "resolution", "target")
 
 
-@query("SELECT product_version, lower(title) AS name, count(DISTINCT logical_id) AS targets, min(logical_id) AS first_target FROM documents WHERE title IS NOT NULL GROUP BY ALL HAVING count(DISTINCT logical_id) > 1")
+@query("SELECT product_version, lower(title) AS name, count(DISTINCT logical_id) AS targets, min(logical_id) AS first_target, list_sort(list(DISTINCT logical_id))[:20] AS examples FROM documents WHERE title IS NOT NULL GROUP BY ALL HAVING count(DISTINCT logical_id) > 1")
 def ambiguous_titles(spark: SparkSession, d: str) -> DataFrame:
     return graph.ambiguous_names(table(spark, d, "documents"), "title", ["product_version"], "logical_id")
 

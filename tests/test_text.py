@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import uuid
 
 import numpy as np
@@ -171,6 +172,29 @@ def test_walks_cycles_and_matches(spark):
     assert graph.cycle_members(edges.where("source = 'in'")).collect() == []
 
 
+def test_long_rings_and_paths(spark):
+    """Names go up along one ring and down along the other, a path of the same length has no cycle."""
+    n = 2500
+    rows = [(f"a{i:05}", f"a{(i + 1) % n:05}") for i in range(n)] + [(f"b{(i + 1) % n:05}", f"b{i:05}") for i in range(n)] + [(f"c{i:05}", f"c{i + 1:05}") for i in range(n)]
+    rows += [("a00007", "b00009"), ("c00100", "a00000"), ("b00000", "c00200")]
+    began = time.time()
+    got = {(r.component, r.members) for r in graph.cycle_members(spark.createDataFrame(rows, "source string, target string")).select("component", "members").distinct().collect()}
+    assert got == {("a00000", n), ("b00000", n)}
+    assert time.time() - began < 60
+
+
+def test_components_agree_with_a_plain_search(spark):
+    rng = np.random.default_rng(8)
+    rows = sorted({(f"n{a}", f"n{b}") for a, b in rng.integers(0, 60, (70, 2))})
+    reach = {f"n{i}": {b for a, b in rows if a == f"n{i}"} for i in range(60)}
+    for _ in range(60):
+        reach = {a: bs | {c for b in bs for c in reach[b]} for a, bs in reach.items()}
+    want = {(a, min(b for b in bs if a in reach[b]), sum(a in reach[b] for b in bs)) for a, bs in reach.items() if a in bs and sum(a in reach[b] for b in bs) > 1}
+    edges = spark.createDataFrame(rows, "source string, target string")
+    assert {tuple(r) for r in graph.cycle_members(edges).collect()} == want
+    assert {tuple(r) for r in graph.cycle_members(edges, few=0).collect()} == want
+
+
 def test_unique_match_and_paths(spark):
     named = spark.createDataFrame([("A", "1"), ("a", "2"), ("b", "3"), (None, "4")], "name string, id string")
     asked = spark.createDataFrame([("a",), ("B",), ("c",), (None,)], "name string")
