@@ -12,7 +12,7 @@ import functools
 import numpy as np
 import tiktoken
 
-from corpusgraph.llm.codepoints import LETTER, OTHER, SPACE, blocks, classes, code_points, span_hashes
+from corpusgraph.functions.codepoints import LETTER, OTHER, SPACE, blocks, classes, code_points, span_hashes
 
 #: The pre-tokeniser's pattern, fixed by the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -76,6 +76,9 @@ class Encoder:
         self._first = np.zeros(0, np.int64)
         self._sizes = np.zeros(0, np.int64)
         self._pool = np.zeros(0, np.int32)
+        self._letters = np.zeros(0, np.uint32)  # the pieces themselves, to compare with on a hit
+        self._spot = np.zeros(0, np.int64)
+        self._length = np.zeros(0, np.int64)
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         if len(self._hashes) + len(hashes) > CACHE and len(self._hashes):
@@ -84,9 +87,13 @@ class Encoder:
         sizes = np.array([len(e) for e in encoded], np.int64)
         first = len(self._pool) + np.cumsum(sizes) - sizes
         self._pool = np.concatenate([self._pool, np.fromiter((i for e in encoded for i in e), np.int32, int(sizes.sum()))])
-        hashes, first, sizes = (np.concatenate(x) for x in ((self._hashes, hashes), (self._first, first), (self._sizes, sizes)))
-        order = np.argsort(hashes)
-        self._hashes, self._first, self._sizes = hashes[order], first[order], sizes[order]
+        length = np.array([len(t) for t in texts], np.int64)
+        spot = len(self._letters) + np.cumsum(length) - length
+        self._letters = np.concatenate([self._letters, code_points("".join(texts))])
+        old = (self._hashes, self._first, self._sizes, self._spot, self._length)
+        joined = [np.concatenate(x) for x in zip(old, (hashes, first, sizes, spot, length))]
+        order = np.argsort(joined[0])
+        self._hashes, self._first, self._sizes, self._spot, self._length = (x[order] for x in joined)
 
     def _look_up(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The entry of each piece."""
@@ -105,7 +112,19 @@ class Encoder:
                 self._clear()
                 return self._look_up(points, starts, ends)
             at = np.searchsorted(self._hashes, distinct)
-        return at[inverse]
+        entry = at[inverse]
+        self._compare(points, starts, ends, entry)
+        return entry
+
+    def _compare(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> None:
+        """Every piece must be the one that is known by its hash, letter by letter; two pieces of one hash are an error, not wrong ids."""
+        sizes = ends - starts
+        same = np.array_equal(sizes, self._length[entry])
+        if same:
+            within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            same = np.array_equal(points[np.repeat(starts, sizes) + within], self._letters[np.repeat(self._spot[entry], sizes) + within])
+        if not same:
+            raise ValueError("two pieces share a hash")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""

@@ -59,23 +59,35 @@ def count_column(text: Column, vocabulary) -> Column:
 
 
 def stitch(chunks: list[tuple[int, str, np.ndarray, np.ndarray]], encode_with_starts) -> np.ndarray:
-    """Ids of a text from its chunks ``(offset, text, ids, starts)`` in order, ``starts`` being places within the chunk."""
+    """Ids of a text from its chunks ``(offset, text, ids, starts)`` in order, ``starts`` being places within the chunk.
+
+    Where an overlap has no common start, the text from the last certain start on is joined with the chunks that follow, twice as many each time,
+    and encoded as one: the work stays in proportion to the text, however long a piece is.
+    """
     done: list[np.ndarray] = []
     offset, text, ids, starts = chunks[0]
-    begin = 0
-    for next_offset, next_text, next_ids, next_starts in chunks[1:]:
+    begin, number, more = 0, 1, 1  # the place up to which ids are done; the next chunk; how many to join
+    while number < len(chunks):
         end = offset + len(text)
-        common = np.intersect1d(starts + offset, next_starts + next_offset)
-        common = common[(common >= next_offset) & (common <= end - MARGIN) & (common > offset + begin)]
+        next_offset, next_text, next_ids, next_starts = chunks[number]
+        certain = starts + offset
+        certain = certain[(certain > begin) & (certain <= end - MARGIN)]
+        common = np.intersect1d(certain, next_starts + next_offset)
+        to = int(common[0]) if len(common) else int(certain[-1]) if len(certain) else begin
+        done.append(ids[(starts + offset >= begin) & (starts + offset < to)])
+        begin = to
         if len(common):
-            at = int(common[0])
-            done.append(ids[(starts >= begin) & (starts + offset < at)])
-            offset, text, ids, starts, begin = next_offset, next_text, next_ids, next_starts, at - next_offset
-        else:  # one run covers the overlap: both chunks become one, from the place that is known to be right
-            text = text[begin:] + next_text[end - next_offset :]
-            offset, begin = offset + begin, 0
-            ids, starts = encode_with_starts([text])[0]
-    done.append(ids[starts >= begin])
+            offset, text, ids, starts = next_offset, next_text, next_ids, next_starts
+            number, more = number + 1, 1
+            continue
+        parts = [text[begin - offset :]]
+        for next_offset, next_text, *_ in chunks[number : number + more]:
+            parts.append(next_text[end - next_offset :])
+            end = next_offset + len(next_text)
+        offset, text = begin, "".join(parts)
+        ids, starts = encode_with_starts([text])[0]
+        number, more = number + more, 2 * more
+    done.append(ids[starts + offset >= begin])
     return np.concatenate(done)
 
 

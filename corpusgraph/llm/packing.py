@@ -1,8 +1,8 @@
 """Filling fixed-capacity containers with items (problem 7).
 
 Items are spread by hash into blocks of bounded size, which are packed independently by bin completion: the largest
-item left opens a container, the undominated sets of items that complete it are tried from the fullest on, branches
-whose waste can't beat the incumbent are cut, and the incumbent starts as the best-fit-decreasing solution. The
+item left opens a container, the undominated sets of items that complete it, of any number of items, are tried from the fullest on,
+branches whose waste can't beat the incumbent are cut, and the incumbent starts as the best-fit-decreasing solution. The
 search of a block ends when the incumbent meets the lower bound or its budget of nodes is spent; the best solution found
 then stands, whole. Containers that a block leaves loose are opened and their items packed again across blocks.
 
@@ -23,8 +23,8 @@ from corpusgraph.plans.lineage import cut
 from corpusgraph.sources.tables import table
 
 CAPACITY = 4096
-#: Items of a block, nodes of a block's search, completions tried at a node.
-BLOCK_ITEMS, NODES, WIDTH = 2000, 400, 3
+#: Items of a block, containers that a block's search may open, sets that are enumerated to complete one, and branches that are followed.
+BLOCK_ITEMS, NODES, TRIES, WIDTH = 2000, 20_000, 120, 3
 #: Containers filled less than this are opened again in the second round.
 LOOSE = 0.97
 
@@ -47,80 +47,96 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def completions(sizes: list[int], room: int, width: int) -> list[tuple[int, ...]]:
-    """Places in the ascending ``sizes`` of undominated sets that fill ``room`` best, fullest first.
-
-    One item, the best pair and the best triples around the largest fitting items are enumerated; a set that some other
-    found set exceeds with the same number of items or fewer is dominated and left out.
-    """
-    n = bisect.bisect_right(sizes, room)
-    if not n:
-        return [()]
-    found: dict[tuple[int, ...], int] = {(n - 1,): sizes[n - 1]}
-    for i in range(n - 1, max(-1, n - 1 - 4 * width), -1):
-        rest = room - sizes[i]
-        j = min(bisect.bisect_right(sizes, rest), i) - 1
-        if j < 0:
+def fillings(sizes: list[int], room: int, tries: int = TRIES) -> list[tuple[int, ...]]:
+    """Sets of places in the ascending ``sizes`` that fit into ``room`` and can't take another item, in the order of a depth-first
+    enumeration from the largest items on. Items of one size are alike. It ends with a perfect filling or after ``tries`` sets."""
+    made: list[tuple[int, ...]] = []
+    chosen: list[int] = []
+    left = room
+    levels = [bisect.bisect_right(sizes, room) - 1]  # of each level the place to try next
+    while levels and len(made) < tries:
+        at = levels[-1]
+        if at < 0:
+            levels.pop()
+            if chosen:
+                left += sizes[chosen.pop()]
+            continue
+        levels[-1] = bisect.bisect_left(sizes, sizes[at]) - 1
+        chosen.append(at)
+        left -= sizes[at]
+        under = min(at, bisect.bisect_right(sizes, left)) - 1
+        if under >= 0:
+            levels.append(under)
             continue
-        found[(j, i)] = sizes[i] + sizes[j]
-        for k in range(j, max(-1, j - 2 * width), -1):
-            last = min(bisect.bisect_right(sizes, rest - sizes[k]), k) - 1
-            if last >= 0:
-                found[(last, k, i)] = sizes[i] + sizes[k] + sizes[last]
-        if found and max(found.values()) == room:
+        made.append(tuple(chosen))
+        if left == 0:
             break
-    ranked = sorted(found.items(), key=lambda x: (-x[1], len(x[0])))
-    kept, fewest = [], 99
-    for places, _ in ranked:
-        if len(places) < fewest or not kept:
-            kept.append(places)
-            fewest = len(places)
+        left += sizes[chosen.pop()]
+        levels[-1] = -1  # a smaller item in the last place is dominated by this one
+    return made
+
+
+def dominated(sizes: list[int], filling: tuple[int, ...], room: int) -> bool:
+    """Whether some of the items could give way to one larger item that stays outside: what they'd leave free is then at least as
+    useful elsewhere as that item."""
+    slack = room - sum(sizes[i] for i in filling)
+    inside = set(filling)
+    sums = {(0, 0)}
+    for i in filling:
+        sums |= {(total + sizes[i], count + 1) for total, count in sums}
+    for total, count in sums:
+        if not count:
+            continue
+        at = bisect.bisect_left(sizes, total + (count == 1))
+        while at < len(sizes) and sizes[at] <= total + slack:
+            if at not in inside:
+                return True
+            at += 1
+    return False
+
+
+def completions(sizes: list[int], room: int, width: int = WIDTH) -> list[tuple[int, ...]]:
+    """The fullest undominated sets that complete a container with ``room`` left, at most ``width``, fullest first and then of fewer items."""
+    found = sorted(fillings(sizes, room), key=lambda f: (-sum(sizes[i] for i in f), len(f)))
+    kept: list[tuple[int, ...]] = []
+    for filling in found:
         if len(kept) == width:
             break
-    return kept
+        if not kept or len(filling) > 12 or not dominated(sizes, filling, room):  # longer sets have too many subsets to test
+            kept.append(filling)
+    return kept or [()]
 
 
 def bin_completion(sizes: np.ndarray, capacity: int, nodes: int = NODES, width: int = WIDTH) -> list[list[int]]:
-    """Containers of item numbers, as few as the search finds. ``sizes`` must not exceed the capacity."""
+    """Containers of item numbers, as few as the search finds. ``sizes`` must not exceed the capacity.
+
+    The search goes depth first and follows the fullest completion; what it leaves are branches from the deepest container upward, which
+    are entered as long as the waste so far leaves a chance to beat the incumbent.
+    """
     best = best_fit_decreasing(sizes, capacity)
-    bound = -(-int(sizes.sum()) // capacity)
-    if len(best) <= max(bound, 1):
-        return best
+    total = int(sizes.sum())
+    bound = -(-total // capacity)
     order = np.argsort(sizes, kind="stable")
-    ascending, numbers = sizes[order].tolist(), order.tolist()
-    spent = 0
-
-    def search(left: list[int], items: list[int], filled: list[list[int]], waste: int) -> None:
-        """Depth first; the first branch is followed down in a loop, so depth of recursion counts only alternatives."""
-        nonlocal best, spent
-        stack = [(left, items, filled, waste)]
-        while stack and len(best) > bound:
-            left, items, filled, waste = stack.pop()
-            while left:
-                spent += 1
-                if spent > nodes * 50 or waste > (len(best) - 1) * capacity - total:
+    stack = [(sizes[order].tolist(), order.tolist(), [], 0)]
+    opened = 0
+    while stack and len(best) > max(bound, 1) and opened < nodes:
+        left, items, filled, waste = stack.pop()
+        while left and waste <= (len(best) - 1) * capacity - total:
+            opened += 1
+            largest, number = left[-1], items[-1]
+            left, items = left[:-1], items[:-1]
+            branches = []
+            for places in completions(left, capacity - largest, width if opened < nodes else 1):
+                gone = set(places)
+                spare = capacity - largest - sum(left[p] for p in places)
+                stay = [p for p in range(len(left)) if p not in gone]
+                branches.append(([left[p] for p in stay], [items[p] for p in stay], [*filled, [number, *(items[p] for p in places)]], waste + spare))
+                if spare == 0:
                     break
-                first, number = left[-1], items[-1]
-                left, items = left[:-1], items[:-1]
-                options = completions(left, capacity - first, width)
-                follow = []
-                for places in options:
-                    gone = set(places)
-                    used = first + sum(left[p] for p in places)
-                    keep = [i for i in range(len(left)) if i not in gone]
-                    follow.append(([left[i] for i in keep], [items[i] for i in keep], filled + [[number, *(items[p] for p in places)]], waste + capacity - used))
-                    if spent > nodes:
-                        break  # only the best completion is followed once the budget of alternatives is spent
-                stack.extend(reversed(follow[1:]))
-                left, items, filled, waste = follow[0]
-            else:
-                if len(filled) < len(best):
-                    best = filled
-            if spent > nodes:
-                break
-
-    total = int(sizes.sum())
-    search(ascending, numbers, [], 0)
+            stack.extend(reversed(branches[1:]))
+            left, items, filled, waste = branches[0]
+        if not left and len(filled) < len(best):
+            best = filled
     return best
 
 
@@ -174,7 +190,10 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, block_
 
     def round_of(rows: DataFrame, blocks: int) -> DataFrame:
         spread = F.pmod(F.xxhash64("record", "part", "tokens", F.monotonically_increasing_id()), F.lit(blocks).cast("bigint"))
-        return cut(rows.select("record", "part", "tokens", spread.alias("block")).groupBy("block").applyInPandas(_pack(capacity), schema), "packed")
+        # a given number of partitions: adaptive execution would bring small blocks together in one task
+        tasks = min(blocks, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        apart = rows.select("record", "part", "tokens", spread.alias("block")).repartition(tasks, "block")
+        return cut(apart.groupBy("block").applyInPandas(_pack(capacity), schema), "packed")
 
     first = round_of(rest, blocks)
     fill = first.groupBy("block", "number").agg(F.sum("tokens").alias("used"))

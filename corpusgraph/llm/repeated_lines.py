@@ -20,7 +20,8 @@ from corpusgraph.plans.lineage import cut
 from corpusgraph.plans.ordinals import assign_ordinals, block_of, place_of
 from corpusgraph.sources.tables import table
 
-#: Bitmaps into which the variants of a line are divided before they are united; also spreads a hot line's rows.
+#: Bitmaps into which the variants of a line, told apart by the raw line's hash, are divided before they are united: a line with a
+#: number in it may have as many variants as documents, and a bitmap for each would cost 4 KB.
 VARIANTS = 16
 _BLANK = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
@@ -58,7 +59,7 @@ def repeated_lines(
     lines = cut(
         normal.select(
             "record", "source", "document", (F.col("at") + 1).alias("line_no"), F.struct(F.xxhash64("normal").alias("a"), F.hash("normal").alias("b")).alias("line"),
-            F.pmod(F.xxhash64("line", "document"), F.lit(VARIANTS)).cast("int").alias("variant"),
+            F.pmod(F.xxhash64("line"), F.lit(VARIANTS)).cast("int").alias("variant"),
         ),
         "lines",
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from corpusgraph.llm.codepoints import LETTER, NUMBER, blocks, classes, code_points, mix, span_hashes
+from corpusgraph.functions.codepoints import LETTER, NUMBER, blocks, classes, code_points, mix, span_hashes
 
 #: Bits of a shingle's hash; the rest of the 64 holds the text's number while sets are sorted.
 HASH_BITS = 52

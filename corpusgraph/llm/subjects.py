@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.codepoints import LETTER, NUMBER, SPACE, blocks, classes, code_points, mix, span_hashes
+from corpusgraph.functions.codepoints import LETTER, NUMBER, SPACE, blocks, classes, code_points, mix, span_hashes
 from corpusgraph.plans.joins import join_checked
 from corpusgraph.plans.lineage import cut
 from corpusgraph.sources.tables import table

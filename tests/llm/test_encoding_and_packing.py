@@ -79,6 +79,49 @@ def test_bin_completion_beats_or_meets_best_fit():
     assert packing.bin_completion(np.zeros(0, np.int64), 10) in ([], [[]])
 
 
+def test_fillings_have_any_number_of_items():
+    """The search reaches the lower bound with five items and more in a container."""
+    rng = np.random.default_rng(0)
+    for least, most in ((300, 1500), (200, 900), (50, 300)):
+        sizes = rng.integers(least, most, 2000)
+        bins = packing.bin_completion(sizes, 4096)
+        assert sorted(i for b in bins for i in b) == list(range(2000)) and all(sizes[b].sum() <= 4096 for b in bins)
+        assert len(bins) <= min(-(-int(sizes.sum()) // 4096) + 1, len(packing.best_fit_decreasing(sizes, 4096)))
+        assert max(map(len, bins)) >= 5
+    assert {len(f) for f in packing.fillings([1, 1, 2, 2, 3, 5, 8], 11)} >= {2}
+    assert sum([1, 1, 2, 2, 3, 5, 8][i] for i in packing.completions([1, 1, 2, 2, 3, 5, 8], 11)[0]) == 11
+
+
+def test_dominated_sets():
+    sizes = [2, 3, 4, 5, 9]
+    assert packing.dominated(sizes, (0, 1), 10)  # 2 and 3 may give way to 5
+    assert not packing.dominated(sizes, (4,), 10) and packing.dominated(sizes, (3,), 10)
+
+
+@pytest.mark.parametrize("text", ["'ll" * 400, "ab" * 700 + " " + "'s" * 300, "\t" * 999 + "x", "x" * 5000 + "y 1" * 40, " \n" * 800])
+def test_runs_without_breaks_are_stitched(own, reference, text):
+    for chunk, overlap in ((50, 12), (64, 9), (101, 40)):
+        offsets = range(0, max(1, len(text) - overlap), chunk - overlap)
+        pieces = [(o, text[o : o + chunk]) for o in offsets]
+        encoded = own.encode_with_starts([t for _, t in pieces])
+        asked = []
+
+        def encode(texts):
+            asked.extend(map(len, texts))
+            return own.encode_with_starts(texts)
+
+        got = encoding.stitch([(o, t, i, s) for (o, t), (i, s) in zip(pieces, encoded)], encode)
+        assert list(got) == reference.encode_ordinary(text)
+        assert sum(asked) <= 6 * len(text)
+
+
+def test_pieces_of_one_hash_are_told_apart(own, monkeypatch):
+    fresh = bpe.Encoder(open(encoding.vocabulary_path(), "rb").read())
+    monkeypatch.setattr(bpe, "span_hashes", lambda points, starts, ends: (ends - starts).astype(np.uint64))
+    with pytest.raises(ValueError):
+        fresh.encode(["ab", "cd"])
+
+
 def check(placed, capacity, items):
     """Nothing lost, nothing too full, offsets and places in order, only large items divided."""
     used: dict = {}
@@ -88,9 +131,12 @@ def check(placed, capacity, items):
         have.append(r.tokens)
     assert all(sum(u) <= capacity for u in used.values())
     total: dict = {}
+    total_size: dict = {}
+    for k, n in items:
+        total_size[k] = max(total_size.get(k, 0), n or 0)
     for r in placed:
         total[r.record] = total.get(r.record, 0) + r.tokens
-        assert r.part == 0 or True
+        assert 0 <= r.part < max(1, -(-total_size[r.record] // capacity))
     want: dict = {}
     for k, n in items:
         want[k] = want.get(k, 0) + (n or 0)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from corpusgraph.llm import subjects as sub
-from corpusgraph.llm.codepoints import code_points, span_hashes
+from corpusgraph.functions.codepoints import code_points, span_hashes
 
 NONE = np.zeros(0, np.uint64)
 VOCABULARY = {s: [f"{s}{c}" for c in "abcdefghijkl"] for s in ("lawx", "sportx", "websx")}
