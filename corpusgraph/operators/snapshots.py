@@ -1,10 +1,10 @@
 """What changed between full snapshots (problem 4).
 
-Keys get persistent ordinals. A snapshot is then, for each block of 32,768 ordinals, a bitmap of the keys present and a
+Keys get persistent ordinals, kept in a key table: a key has the same ordinal in every delivery. A snapshot is then, for each block of 32,768 ordinals, a bitmap of the keys present and a
 vector of content hashes aligned with the ordinals of the bitmap, compressed. The later bitmap AND NOT the earlier
 one gives additions, the reverse removals; where both have the bit, the aligned vectors tell the changes. Blocks are
 bounded, so no task holds more than one block of two snapshots at a time, and a snapshot moves as a few compressed bytes
-a key instead of its rows. Only the differing ordinals are turned back into keys.
+a key instead of its rows. With a store, blocks of earlier releases are read, not made again. Only the differing ordinals are turned back into keys.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgraph.plans.lineage import cut
-from corpusgraph.plans.ordinals import BLOCK, assign_ordinals, block_of, place_of
+from corpusgraph.plans.lineage import cut, scratch
+from corpusgraph.plans.ordinals import BLOCK, assign_ordinals, block_of, exists, place_of
 
 CHANGES = ["added", "removed", "changed"]
 
@@ -65,7 +65,7 @@ def _unpack(bitmap: bytes | None, vector: bytes | None) -> tuple[np.ndarray, np.
 
 def _pack_blocks(group: pd.DataFrame) -> pd.DataFrame:
     bitmap, vector = _pack(group["place"].to_numpy(np.int64), group["hash"].fillna(0).to_numpy(np.int64), group["is_null"].to_numpy(bool))
-    return pd.DataFrame({"block": [group["block"].iloc[0]], "step": [group["step"].iloc[0]], "bitmap": [bitmap], "vector": [vector]})
+    return pd.DataFrame({"block": [group["block"].iloc[0]], "snapshot": [group["snapshot"].iloc[0]], "bitmap": [bitmap], "vector": [vector]})
 
 
 def _differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,7 +84,7 @@ def _differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def snapshot_changes(latest: DataFrame, releases: DataFrame, version: str = "product_version", released: str = "released_at") -> DataFrame:
+def snapshot_changes(latest: DataFrame, releases: DataFrame, version: str = "product_version", released: str = "released_at", store: str | None = None) -> DataFrame:
     """Rows ``product_version, record_key, change`` of every key that differs between two consecutive releases.
 
     ``latest`` has one row a key and snapshot, as made by :func:`last_loaded`. Releases follow each other by ``released``,
@@ -92,8 +92,11 @@ def snapshot_changes(latest: DataFrame, releases: DataFrame, version: str = "pro
     unlisted releases are left out. A release without rows is an empty snapshot: all keys of the one before are removed.
     Null content equals only null content. The first release has no cases; empty tables give none.
 
-    Contents are compared by 64-bit hashes.
+    ``store`` is a folder that keeps the key table and the blocks of all snapshots delivered so far: ``latest`` then needs to have the new
+    snapshots only, and one that is delivered again replaces what was stored. Contents are compared by 64-bit hashes.
     """
+    spark = latest.sparkSession
+    folder = store or scratch(spark, "snapshots")
     steps = (
         releases.where(F.col(version).isNotNull())
         .groupBy(F.col(version).alias("snapshot"))
@@ -101,13 +104,19 @@ def snapshot_changes(latest: DataFrame, releases: DataFrame, version: str = "pro
         .withColumn("step", F.row_number().over(Window.orderBy("at", "snapshot")))  # one row a release
         .select("snapshot", "step")
     )
-    ordinals = assign_ordinals(latest, "snapshot_key", name="snapshot-keys")
+    ordinals = assign_ordinals(latest, "snapshot_key", folder=f"{folder}/keys", name="snapshot-keys")
     placed = (
-        latest.join(steps, "snapshot")
+        latest.join(F.broadcast(steps.select("snapshot")), "snapshot")
         .join(ordinals, "snapshot_key")
-        .select(block_of("ordinal").alias("block"), place_of("ordinal").alias("place"), "step", F.xxhash64("content").alias("hash"), F.col("content").isNull().alias("is_null"))
+        .select(block_of("ordinal").alias("block"), place_of("ordinal").alias("place"), "snapshot", F.xxhash64("content").alias("hash"), F.col("content").isNull().alias("is_null"))
     )
-    packed = cut(placed.groupBy("block", "step").applyInPandas(_pack_blocks, "block bigint, step int, bitmap binary, vector binary"), "snapshot-blocks")
+    made = placed.groupBy("block", "snapshot").applyInPandas(_pack_blocks, "block bigint, snapshot string, bitmap binary, vector binary")
+    blocks = f"{folder}/blocks"
+    delivery = 1 + (spark.read.parquet(blocks).agg(F.coalesce(F.max("delivery"), F.lit(0))).collect()[0][0] if exists(spark, blocks) else 0)
+    made.withColumn("delivery", F.lit(delivery)).write.mode("append").option("compression", "zstd").parquet(blocks)
+    stored = spark.read.schema("block bigint, snapshot string, bitmap binary, vector binary, delivery int").parquet(blocks)
+    newest = stored.groupBy("snapshot").agg(F.max("delivery").alias("delivery"))  # one row a release
+    packed = stored.join(F.broadcast(newest), ["snapshot", "delivery"]).join(F.broadcast(steps), "snapshot")
 
     # every block stands beside its state one step earlier; a block that a snapshot lacks is an empty one
     after = packed.select("block", "step", "bitmap", "vector")
@@ -118,7 +127,7 @@ def snapshot_changes(latest: DataFrame, releases: DataFrame, version: str = "pro
     names = F.array(*[F.lit(c) for c in CHANGES])
     return (
         found.join(ordinals, "ordinal")
-        .join(steps, "step")
+        .join(F.broadcast(steps), "step")
         .select(F.col("snapshot").alias("product_version"), F.col("snapshot_key").alias("record_key"), F.element_at(names, F.col("change") + 1).alias("change"))
     )
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.operators import orphans, snapshots
+from corpusgraph.plans.lineage import scratch
 from corpusgraph.plans.ordinals import assign_ordinals
 
 T = [datetime(2024, 1, d) for d in range(1, 29)]
@@ -43,7 +44,7 @@ def test_orphans_of_empty_tables(spark):
 
 
 @pytest.mark.parametrize("words", [1, 64, 1 << 20])
-def test_a_full_filter_loses_nothing(spark, words):
+def test_a_filter_that_is_not_broadcast_loses_nothing(spark, words):
     rng = random.Random(words)
     parent = [(str(rng.randrange(400)), "1", T[rng.randrange(10)], 0) for _ in range(300)]
     child = [(i, str(rng.randrange(400)), "1", T[rng.randrange(28)], "", 0) for i in range(600)]
@@ -54,6 +55,28 @@ def test_a_full_filter_loses_nothing(spark, words):
     assert sorted(r.record_no for r in orphans.find_orphans(refs(spark, child, parent), words).collect()) == want
 
 
+def test_the_filter_does_not_fill_up():
+    """At fifty million keys and at fifty billion it lets through what it lets through at a thousand."""
+    for keys in (5_000, 50_000_000, 50_000_000_000):
+        words = orphans.filter_words(keys)
+        assert words * orphans.KEYS_PER_WORD >= keys and orphans.passing_share(keys, words) < 0.015
+
+
+def test_absent_keys_hardly_pass(spark):
+    keys = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("k0"))
+    absent = spark.range(20_000).select(F.concat(F.lit("x"), "id").alias("k0"))
+    words = orphans.filter_words(20_000)
+    pages = orphans.bloom_pages(keys, ["k0"], words)
+    assert pages.count() * orphans.PAGE == words
+
+    def passing(df):
+        h = F.xxhash64("k0")
+        probed = df.select(orphans._mask(h).alias("mask"), orphans._word(h, words).alias("word")).withColumn("page", F.floor(F.col("word") / orphans.PAGE)).join(pages, "page")
+        return probed.where(F.element_at("words", (F.col("word") % orphans.PAGE + 1).cast("int")).bitwiseAND(F.col("mask")) == F.col("mask")).count()
+
+    assert passing(keys) == 20_000 and passing(absent) < 0.015 * 20_000
+
+
 def releases(spark):
     return spark.createDataFrame([("4.9", T[0]), ("4.10", T[9]), ("5", T[19]), ("5", T[20]), (None, T[1])], "product_version string, released_at timestamp_ntz")
 
@@ -96,3 +119,21 @@ def test_ordinals_are_distinct_and_stay(spark):
     first = {r.k: r.ordinal for r in ordinals.collect()}
     assert len(first) == len(set(first.values())) == 500
     assert first == {r.k: r.ordinal for r in ordinals.orderBy("k").collect()}
+
+
+def test_ordinals_stay_over_deliveries_and_stored_blocks_are_used_again(spark):
+    """The second delivery has the new release only: the one before it comes from the store."""
+    def delivered(version, keys):
+        rows = spark.createDataFrame([(k, version, s, T[0]) for k, s in keys.items()], "path string, product_version string, sha string, loaded_at timestamp_ntz")
+        return snapshots.last_loaded(rows, "path", "product_version", F.col("sha"), ["loaded_at"])
+
+    store = scratch(spark, "store")
+    first = delivered("4.9", {"a": "1", "b": "1"}).unionByName(delivered("4.10", {"b": "2", "c": "1"}))
+    assert {tuple(r) for r in snapshots.snapshot_changes(first, releases(spark).where("product_version <> '5'"), store=store).collect()} == {("4.10", "a", "removed"), ("4.10", "b", "changed"), ("4.10", "c", "added")}
+    before = {r.snapshot_key: r.ordinal for r in spark.read.parquet(f"{store}/keys").collect()}
+    second = snapshots.snapshot_changes(delivered("5", {"a": "1", "c": "1", "d": None}), releases(spark), store=store)
+    assert {tuple(r) for r in second.where("product_version = '5'").collect()} == {("5", "a", "added"), ("5", "b", "removed"), ("5", "d", "added")}
+    after = {r.snapshot_key: r.ordinal for r in spark.read.parquet(f"{store}/keys").collect()}
+    assert sorted(before.values()) == [1, 2, 3] and after == before | {"d": 4}
+    again = snapshots.snapshot_changes(delivered("5", {"b": "2", "c": "1"}), releases(spark), store=store)  # delivered again: replaces what was stored
+    assert again.where("product_version = '5'").collect() == []
