@@ -9,7 +9,7 @@ similarity 0.6 comes within the radius of one vector with probability 0.48 (coun
 masks also cover), and of at least one of eight with 0.995; at 0.7 with 0.9999.
 
 Equal shingle sets form a class first, and only a class's representative enters the tables, so a group of copies
-of any size costs one row a table. All pairs that meet are verified exactly on their shingle sets, each of which is made once.
+of any size costs one row a table. All pairs that meet are verified exactly on their shingle sets, a batch of pairs at once.
 """
 
 from __future__ import annotations
@@ -56,7 +56,6 @@ def _signatures(size: int, least_words: int):
                     "set_a": np.add.reduceat(spread, starts).view(np.int64),
                     "set_b": np.bitwise_xor.reduceat(mix(spread + np.uint64(1)), starts).view(np.int64),
                     "sketch": [row.tobytes() for row in sketch],
-                    "shingles": [sets[first[i] : first[i + 1]].view(np.int64) for i in kept],
                 }
             )
 
@@ -86,26 +85,31 @@ def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Of each pair of sets the number of common members: both sets of all pairs are sorted at once, a pair's number before the hash."""
     sizes = np.array([len(a) + len(b) for a, b in zip(left, right)], np.int64)
     pair = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-    every = np.concatenate([x for both in zip(left, right) for x in both]).astype(np.int64).view(np.uint64)
+    every = np.concatenate([x for both in zip(left, right) for x in both]).astype(np.uint64)
     keyed = np.sort(pair << np.uint64(HASH_BITS) | every)
     twice = keyed[1:][keyed[1:] == keyed[:-1]] >> np.uint64(HASH_BITS)
     return np.bincount(twice.astype(np.int64), minlength=len(sizes))
 
 
-def _similar(least: float):
+def _similar(size: int, least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            left, right = batch["set_a"].tolist(), batch["set_b"].tolist()
+            known = pd.concat([batch[["a", "text_a"]].set_axis(["record", "text"], axis=1), batch[["b", "text_b"]].set_axis(["record", "text"], axis=1)])
+            number, records = pd.factorize(known["record"])
+            texts = known["text"].to_numpy()[np.unique(number, return_index=True)[1]]
+            sets, first = shingle_sets(texts.tolist(), size, 0)  # once for each text of the batch
+            parts = [sets[first[i] : first[i + 1]] for i in range(len(records))]
+            left, right = ([parts[i] for i in side] for side in np.split(number, 2))
             both = np.array([len(a) + len(b) for a, b in zip(left, right)], np.int64)
             total = np.cumsum(both)
-            first = 0
-            while first < len(batch):
-                last = int(np.searchsorted(total, (total[first - 1] if first else 0) + _SHINGLES_AT_ONCE, "right"))
-                last = min(max(last, first + 1), first + _PAIRS_AT_ONCE)
-                common = shared(left[first:last], right[first:last])
-                alike = common >= least * (both[first:last] - common) - 1e-9
-                yield batch.iloc[first:last].loc[alike, ["a", "b"]]
-                first = last
+            at = 0
+            while at < len(batch):
+                end = int(np.searchsorted(total, (total[at - 1] if at else 0) + _SHINGLES_AT_ONCE, "right"))
+                end = min(max(end, at + 1), at + _PAIRS_AT_ONCE)
+                common = shared(left[at:end], right[at:end])
+                alike = common >= least * (both[at:end] - common) - 1e-9
+                yield batch.iloc[at:end].loc[alike, ["a", "b"]]
+                at = end
 
     return run
 
@@ -122,7 +126,7 @@ def near_duplicates(records: DataFrame, key: str, text: str = "text", size: int
     their texts agree. Extra columns are ignored. Sets are compared by 52-bit hashes of the shingles.
     """
     rows = records.select(F.col(key).cast("bigint").alias("record"), F.col(text).alias("text")).dropna()
-    signed = cut(rows.mapInPandas(_signatures(size, least_words), "record bigint, set_a bigint, set_b bigint, sketch binary, shingles array<bigint>"), "signatures")
+    signed = cut(rows.mapInPandas(_signatures(size, least_words), "record bigint, set_a bigint, set_b bigint, sketch binary"), "signatures")
     members = signed.select("record", F.struct("set_a", "set_b").alias("set"))
     ids = members.groupBy("set").agg(F.min("record").alias("class_id"))
     members = members.join(ids, "set").select("record", "class_id").distinct()
@@ -134,9 +138,11 @@ def near_duplicates(records: DataFrame, key: str, text: str = "text", size: int
     )
     pairs = cut(pairs, "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("record")).distinct()
-    sets = signed.select("record", "shingles").join(wanted, "record", "left_semi").dropDuplicates(["record"])
-    both = pairs.join(sets.select(F.col("record").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("record").alias("b"), F.col("shingles").alias("set_b")), "b")
-    links = both.mapInPandas(_similar(least), "a bigint, b bigint")
+    texts = rows.join(wanted, "record", "left_semi").dropDuplicates(["record"])  # compressed texts are smaller than their sets of hashes
+    both = pairs.join(texts.select(F.col("record").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("record").alias("b"), F.col("text").alias("text_b")), "b"
+    )
+    links = both.mapInPandas(_similar(size, least), "a bigint, b bigint")
     return members, links
 
 
