@@ -179,3 +179,27 @@ def byte_budget(rows: DataFrame, order: list[Column], limit: int, budget: int) -
     top = rows.orderBy(*order).limit(limit)
     size = F.octet_length(F.to_json(F.struct("*")))
     return top.withColumn("used", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") <= budget)
+
+
+def first_wins(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """Distinct values of each key in the order of their first appearance: ``(key, values)``. A list is bounded by what is distinct in its key."""
+    firsts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("first"))
+    lists = firsts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("first", value))).alias("x"))
+    return lists.select(key, F.transform("x", lambda v: v[value]).alias("values"))
+
+
+def set_json(values: str) -> Column:
+    """An array as a set: the distinct values in order, as JSON text; null for a null one."""
+    return F.to_json(F.sort_array(F.array_distinct(values)))
+
+
+def inventory_hash(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds the hash that the inventory of the document's release has for its source file: the one loaded last, hashes in lower case. Null without one."""
+    digest = F.lower("sha256")
+    known = (
+        files.where(F.col("sha256").isNotNull())
+        .groupBy(F.col("path").alias("source_path"), "product_version")
+        .agg(F.max(F.struct(F.col("loaded_at"), digest.alias("sha256"))).alias("last"))
+        .select("source_path", "product_version", F.col("last.sha256").alias("sha256"))
+    )
+    return documents.drop("sha256").join(known, ["source_path", "product_version"], "left")

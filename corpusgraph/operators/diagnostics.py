@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusgraph.functions import text
 
 #: Fixed bounds: the longest range of an event search, properties of an event, its text.
-MAX_RANGE, MAX_PROPERTIES, MAX_TEXT, MAX_NAMES = timedelta(days=31), 50, 8000, 50
+MAX_RANGE, MAX_PROPERTIES, MAX_TEXT, MAX_NAMES = timedelta(days=31), 100, 8000, 50
 
 
 def event_range(start: datetime, end: datetime) -> tuple[datetime, datetime]:
@@ -45,7 +45,7 @@ def keyset_page(rows: DataFrame, time: str, key: str, size: int, after: tuple[da
 
 
 def redact_properties(properties: Column) -> Column:
-    """A map of at most 50 entries; values of sensitive keys are hidden, others redacted and bounded."""
+    """A map of at most 100 entries; values of sensitive keys are hidden, others redacted and bounded."""
     entries = F.slice(F.map_entries(properties), 1, MAX_PROPERTIES)
     hidden = F.transform(entries, lambda e: F.struct(F.substring(e["key"], 1, 300).alias("key"), F.when(e["key"].rlike(text.SENSITIVE_KEY), F.lit(text.HIDDEN)).otherwise(text.redact(e["value"], MAX_TEXT)).alias("value")))
     return F.map_from_entries(hidden)

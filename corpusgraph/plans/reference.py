@@ -334,10 +334,12 @@ def unique_fetch(spark: SparkSession, d: str) -> DataFrame:
     return datasets.one(table(spark, d, "customer"), F.col("c_custkey") == 42).select("c_custkey", "c_name")
 
 
-@query("SELECT link_no FROM links WHERE document_id LIKE '%-api-operation' OR target_logical_id LIKE '%-10' OR document_id = 'x' OR anchor LIKE '%-10'")
+@query("SELECT DISTINCT link_no FROM links WHERE target_logical_id LIKE '%-103%' AND right(target_logical_id, 5) IN ('-1034', '-1037') OR document_id LIKE '%-4.8'")
 def component_connections(spark: SparkSession, d: str) -> DataFrame:
     links = table(spark, d, "links")
-    return datasets.connections(links, "10", ["target_logical_id", "anchor"]).unionByName(datasets.connections(links, "api-operation", ["document_id"])).select("link_no").distinct()
+    asked = [("1034", "target_logical_id"), ("1037", "target_logical_id"), ("4.8", "document_id")]
+    found = [datasets.connections(links, component, [column]).select("link_no") for component, column in asked]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
 
 
 # graph
@@ -462,11 +464,6 @@ def user_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("user_id", text.pseudonym("user_id").alias("pseudonym")).distinct()
 
 
-@query()
-def redacted_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select("chunk_no", F.sha2(text.redact("text"), 256).alias("digest"))
-
-
 @query(
     """SELECT doc_id, i AS line_no, contains(lower(parts[i]), 'token')::INT + contains(lower(parts[i]), 'session')::INT AS matched
 FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1))::INT AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))
@@ -492,9 +489,15 @@ def operation_trace(spark: SparkSession, d: str) -> DataFrame:
     return _traced(spark, d)[0]
 
 
-@query(_TRACE + ", n AS (SELECT unnest(['events', 'orders', 'customer']) AS source) SELECT operation, source FROM o, n WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.operation = o.operation AND t.source = n.source)")
+@query(
+    """SELECT c_custkey AS operation, source FROM customer, (SELECT unnest(['events', 'orders']) AS source) WHERE (source = 'events' AND c_custkey NOT IN (SELECT user_id FROM events))
+OR (source = 'orders' AND c_custkey NOT IN (SELECT o_custkey FROM orders))"""
+)
 def operation_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return diagnostics.gaps(*_traced(spark, d), ["events", "orders", "customer"])
+    """Customers of whom a source has no record."""
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("operation"))
+    sources = {"events": (table(spark, d, "events"), "user_id", "event_id"), "orders": (table(spark, d, "orders"), "o_custkey", "o_orderkey")}
+    return diagnostics.gaps(diagnostics.trace(sources, asked), asked, ["events", "orders"])
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")

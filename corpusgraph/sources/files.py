@@ -150,7 +150,7 @@ def log_window(files: DataFrame, window: int = LOG_WINDOW) -> DataFrame:
 def api_bundles(files: DataFrame) -> DataFrame:
     """API operations ``(path, method, route, title)`` in script bundles: embedded, compressed specifications in ``JSON.parse('…')``.
 
-    Of several specifications with one method and route the last file counts.
+    A script may hold several. Of specifications with one method and route the last file counts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,7 +168,6 @@ def api_bundles(files: DataFrame) -> DataFrame:
                     except (ValueError, KeyError, TypeError, zlib.error):
                         continue
                     rows.append((path, str(spec.get("method", "")).upper(), spec.get("path"), value.get("title")))
-                    break
             yield pd.DataFrame(rows, columns=["path", "method", "route", "title"])
 
     found = files.select("path", utf8("content").alias("script")).mapInPandas(run, "path string, method string, route string, title string")
