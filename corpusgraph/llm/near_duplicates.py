@@ -193,5 +193,15 @@ p AS (
   SELECT x.chunk_no AS x, y.chunk_no AS y FROM m x JOIN m y ON x.id = y.id AND x.chunk_no < y.chunk_no
   UNION ALL SELECT x.chunk_no, y.chunk_no FROM alike JOIN m x ON x.id = a JOIN m y ON y.id = b
 )
-SELECT least(x, y) AS chunk_no_a, greatest(x, y) AS chunk_no_b FROM p"""
+SELECT least(x, y) AS chunk_no_a, greatest(x, y) AS chunk_no_b FROM p""",
+    "p1_classes": """
+WITH w AS (SELECT chunk_no, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS words FROM chunks WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT chunk_no, hash(words[i], words[i + 1], words[i + 2], words[i + 3], words[i + 4]) AS h FROM (SELECT chunk_no, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+c AS (SELECT chunk_no, min(chunk_no) OVER (PARTITION BY every) AS class_id, count(*) OVER (PARTITION BY every) AS copies FROM (SELECT chunk_no, list_sort(list(h)) AS every FROM s GROUP BY chunk_no)),
+f AS (SELECT s.* FROM s JOIN c ON c.chunk_no = s.chunk_no AND c.class_id = c.chunk_no),
+n AS (SELECT chunk_no, count(*) AS n FROM f GROUP BY chunk_no),
+met AS (SELECT a.chunk_no AS a, b.chunk_no AS b, count(*) AS k FROM f a JOIN f b ON a.h = b.h AND a.chunk_no < b.chunk_no GROUP BY ALL),
+alike AS (SELECT a, b FROM met JOIN n x ON x.chunk_no = a JOIN n y ON y.chunk_no = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9),
+l AS (SELECT class_id, count(*) AS links FROM (SELECT unnest([a, b]) AS class_id FROM alike) GROUP BY class_id)
+SELECT chunk_no, class_id, copies, coalesce(links, 0) AS links FROM c LEFT JOIN l USING (class_id)""",
 }
