@@ -442,7 +442,7 @@ def code_identifiers(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def code_references(spark: SparkSession, d: str) -> DataFrame:
     lines = _code(spark, d)
-    return code.references(lines, "doc_id", "Yarr", code.declarations(lines, "doc_id"))
+    return code.references(lines, "doc_id", "Reed", code.declarations(lines, "doc_id"))
 
 
 # diagnostics
