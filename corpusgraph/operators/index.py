@@ -86,6 +86,9 @@ def build_index(chunks: DataFrame, key: str, folder: str, fields: dict[str, floa
     """Writes the index of ``chunks`` to ``folder`` and opens it. ``key`` should be unique; null texts have no words and a zero vector."""
     spark = chunks.sparkSession
     facets = [f for f in FACETS if f in chunks.columns]
+    tasks = spark.sparkContext.defaultParallelism
+    if chunks.rdd.getNumPartitions() < tasks:  # a table of few row groups would leave most cores idle
+        chunks = chunks.repartition(tasks)
 
     def write(df: DataFrame, name: str, *by: str) -> DataFrame:
         writer = df.write.mode("overwrite").option("compression", "zstd")
